@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op4_byte_bpe
+from .quality_classifier import op1_quality_classifier
+from .quality_rules import op2_quality_rules
+from .simhash_dedup import op6_simhash_dedup
 from .token_counts import op7_token_counts
 
 #: Every query of this subpackage by name.
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_byte_bpe, op7_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op4_byte_bpe, op6_simhash_dedup, op7_token_counts)}
 
 #: DuckDB SQL of those that SQL can express.
 ORACLES: dict[str, str] = {}
