@@ -234,8 +234,8 @@ def pseudonym(x: Column) -> Column:
 def pseudonymise(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the personal data in ``text`` replaced, and a column ``private``: (kind, original, value) of each replaced value in order.
 
-    A null text stays null and an empty one empty, both with no private values. Texts
-    keep their length. Repeated rows give repeated results. A column ``private`` of
+    A null text stays null and an empty one empty, both with no private values. Only
+    addresses can change a text's length. Repeated rows give repeated results. A column ``private`` of
     the input is replaced.
     """
     source = F.col(text)
@@ -254,5 +254,8 @@ def pseudonymise(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    kinds = [F.size(F.filter("private", lambda p, k=k: p["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
-    return docs.select("doc_id", "text", F.size("private").cast("bigint").alias("n_private"), *kinds)
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("private", lambda p: p["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return docs.select("doc_id", "text", F.size("private").cast("bigint").alias("n_private"), *map(count, KINDS))
