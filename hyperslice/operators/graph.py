@@ -103,8 +103,9 @@ def ancestors(tree: DataFrame, node: str = "path", parent: str = "parent", depth
     up = held(tree.filter(F.col(parent).isNotNull()).select(F.col(node).alias("n"), F.col(parent).alias("a"), F.lit(1).alias("d")))
     found, reach = up, 1
     while reach < depth:
-        far = found.filter(F.col("d") == reach)
-        step = far.alias("x").join(found.alias("y"), F.col("x.a") == F.col("y.n")).select(F.col("x.n").alias("n"), F.col("y.a").alias("a"), (F.col("x.d") + F.col("y.d")).alias("d"))
+        far = found.filter(F.col("d") == reach).select(F.col("n").alias("xn"), F.col("a").alias("xa"), F.col("d").alias("xd"))
+        more = found.select(F.col("n").alias("yn"), F.col("a").alias("ya"), F.col("d").alias("yd"))
+        step = far.join(more, F.col("xa") == F.col("yn")).select(F.col("xn").alias("n"), F.col("ya").alias("a"), (F.col("xd") + F.col("yd")).alias("d"))
         step = held(step)
         if step.isEmpty():
             break

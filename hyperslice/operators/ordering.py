@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,11 +13,17 @@ from ..functions import curves
 
 
 def held(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder, so that partition numbers stay as they are."""
-    sc = df.sparkSession.sparkContext
+    """``df`` computed once: written to a table in the cluster's shared checkpoint folder and read again, which cuts its lineage.
+
+    Only where ``spark.checkpoint.dir`` is unset (in tests) a folder of this machine serves.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hyperslice-"))
-    return df.checkpoint()
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/held-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ranked(df: DataFrame, order: Sequence[Column], rank: str = "rank", running: Column | None = None, total: str = "running") -> DataFrame:

@@ -81,11 +81,12 @@ def histogram(volume: DataFrame, bins: int = 256, value: str = "value") -> DataF
 def otsu(volume: DataFrame, bins: int = 256, value: str = "value") -> DataFrame:
     """One row: the threshold (a bin's center) of the greatest variance between the sides; foreground lies strictly above."""
     up = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # a row for each bin
-    h = histogram(volume, bins, value).withColumn("w", F.sum("n").over(up)).withColumn("m", F.sum(F.col("n") * F.col("center")).over(up))
     totals = Window.partitionBy()
-    h = h.withColumn("W", F.max("w").over(totals)).withColumn("M", F.max_by("m", "bin").over(totals))
-    other = F.nullif(F.col("W") - F.col("w"), F.lit(0))
-    between = F.col("w") * (F.col("W") - F.col("w")) * F.pow(F.col("m") / F.nullif(F.col("w"), F.lit(0)) - (F.col("M") - F.col("m")) / other, 2)
+    weighed = F.col("n") * F.col("bin")
+    h = histogram(volume, bins, value).withColumn("w", F.sum("n").over(up)).withColumn("m", F.sum(weighed).over(up))
+    h = h.withColumn("W", F.sum("n").over(totals)).withColumn("M", F.sum(weighed).over(totals))
+    gap = (F.col("m") * F.col("W") - F.col("M") * F.col("w")).cast("double")
+    between = gap * gap / F.nullif((F.col("w") * (F.col("W") - F.col("w"))).cast("double"), F.lit(0.0))
     return h.withColumn("v", F.coalesce(between, F.lit(-1.0))).agg(F.min(F.struct((-F.col("v")).alias("v"), "center")).alias("b")).select(F.col("b.center").alias("threshold"))
 
 
@@ -187,11 +188,11 @@ def trilinear(points: DataFrame, grid: DataFrame, axes: Sequence[str], values: S
         corners = corners.withColumn(f"__c{i}", (low + F.col(f"__d{i}")).cast("bigint"))
         share = F.col(a) - low
         weight = weight * F.when(F.col(f"__d{i}") == 1, share).otherwise(1 - share)
-    corners = corners.withColumn("__w", weight)
+    corners = corners.withColumn("__share", weight)
     g = grid.select(*[F.col(a).cast("bigint").alias(f"__c{i}") for i, a in enumerate(axes)], *[F.col(v).alias(f"__{v}") for v in values])
     joined = corners.join(g, [f"__c{i}" for i in range(len(axes))], "left")
     keep = points.columns
-    return joined.groupBy("__row").agg(*[F.first(c).alias(c) for c in keep], *[F.sum(F.col("__w") * F.coalesce(F.col(f"__{v}"), F.lit(0.0))).alias(f"at_{v}") for v in values]).drop("__row")
+    return joined.groupBy("__row").agg(*[F.first(c).alias(c) for c in keep], *[F.sum(F.col("__share") * F.coalesce(F.col(f"__{v}"), F.lit(0.0))).alias(f"at_{v}") for v in values]).drop("__row")
 
 
 def rk4(points: DataFrame, grid: DataFrame, axes: Sequence[str], flow: Sequence[str], step: float) -> DataFrame:
