@@ -84,9 +84,9 @@ def otsu(volume: DataFrame, bins: int = 256, value: str = "value") -> DataFrame:
     totals = Window.partitionBy()
     weighed = F.col("n") * F.col("bin")
     h = histogram(volume, bins, value).withColumn("w", F.sum("n").over(up)).withColumn("m", F.sum(weighed).over(up))
-    h = h.withColumn("W", F.sum("n").over(totals)).withColumn("M", F.sum(weighed).over(totals))
-    gap = (F.col("m") * F.col("W") - F.col("M") * F.col("w")).cast("double")
-    between = gap * gap / F.nullif((F.col("w") * (F.col("W") - F.col("w"))).cast("double"), F.lit(0.0))
+    h = h.withColumn("all_n", F.sum("n").over(totals)).withColumn("all_m", F.sum(weighed).over(totals))
+    gap = (F.col("m") * F.col("all_n") - F.col("all_m") * F.col("w")).cast("double")
+    between = gap * gap / F.nullif((F.col("w") * (F.col("all_n") - F.col("w"))).cast("double"), F.lit(0.0))
     return h.withColumn("v", F.coalesce(between, F.lit(-1.0))).agg(F.min(F.struct((-F.col("v")).alias("v"), "center")).alias("b")).select(F.col("b.center").alias("threshold"))
 
 
@@ -168,12 +168,12 @@ def equalise_tiles(volume: DataFrame, axes: Sequence[str], tile: int = 16, clip:
     binned = volume.select("*", *tiles, F.least(F.floor(F.col(value) * bins), F.lit(bins - 1)).cast("int").alias("__b"))
     counts = binned.groupBy(*keys, "__b").agg(F.count("*").alias("n"))
     whole = Window.partitionBy(*keys)
-    counts = counts.withColumn("N", F.sum("n").over(whole))
-    limit = F.greatest(F.lit(1.0), clip * F.col("N") / bins)
+    counts = counts.withColumn("all_n", F.sum("n").over(whole))
+    limit = F.greatest(F.lit(1.0), clip * F.col("all_n") / bins)
     counts = counts.withColumn("kept", F.least(F.col("n").cast("double"), limit))
-    counts = counts.withColumn("spread", (F.col("N") - F.sum("kept").over(whole)) / bins)
+    counts = counts.withColumn("spread", (F.col("all_n") - F.sum("kept").over(whole)) / bins)
     up = whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-    cdf = counts.withColumn("cdf", (F.sum("kept").over(up) + F.col("spread") * (F.col("__b") + 1)) / F.col("N")).select(*keys, "__b", "cdf")
+    cdf = counts.withColumn("cdf", (F.sum("kept").over(up) + F.col("spread") * (F.col("__b") + 1)) / F.col("all_n")).select(*keys, "__b", "cdf")
     return binned.join(cdf, [*keys, "__b"]).withColumn(value, F.col("cdf")).select(*volume.columns)
 
 
