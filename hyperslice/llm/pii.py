@@ -5,7 +5,7 @@ calendar), and what fails stays as it is. A valid value is permuted within its f
 by a keyed, balanced or unbalanced Feistel network over exactly the values of that
 format, so no two values share a pseudonym and equal values keep theirs in every
 document, however they are punctuated. Numbers, addresses and dates are permuted as
-pairs of residues (dates over the 146097 = 209 * 699 days of a Gregorian cycle of 400
+pairs of residues (dates over the 146097 = 189 * 773 days of a Gregorian cycle of 400
 years); digits and letters of longer identifiers are shifted by keyed hashes of the
 other half. The network is a fold whose state is a struct, so its plan stays small.
 """
@@ -35,7 +35,7 @@ ANY = "|".join(KINDS.values())
 #: A text without one of these holds no candidate.
 HINT = r"[0-9@]|AKIA|[=:][ ]?\"?[A-Za-z0-9]{12}"
 
-EPOCH, DAYS, LEFT_DAYS, RIGHT_DAYS = "1800-01-01", 146097, 209, 699
+EPOCH, DAYS, LEFT_DAYS, RIGHT_DAYS = "1800-01-01", 146097, 189, 773
 AREAS, GROUPS, SERIALS = 898, 99, 9999
 
 
@@ -231,11 +231,11 @@ def pseudonym(x: Column) -> Column:
     return F.struct(kind.alias("kind"), value.alias("value"))
 
 
-def pseudonymise(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the personal data in ``text`` replaced, and a column ``private``: (kind, original, value) of each replaced value in order.
+def pseudonymise(docs: DataFrame, text: str = "text", out: str = "private") -> DataFrame:
+    """``docs`` with the personal data in ``text`` replaced, and a column ``out``: (kind, original, value) of each replaced value in order.
 
     A null text stays null and an empty one empty, both with no private values. Only
-    addresses can change a text's length. Repeated rows give repeated results. A column ``private`` of
+    addresses can change a text's length. Repeated rows give repeated results. A column ``out`` of
     the input is replaced.
     """
     source = F.col(text)
@@ -248,7 +248,7 @@ def pseudonymise(docs: DataFrame, text: str = "text") -> DataFrame:
     joined = F.array_join(F.flatten(F.zip_with(between, values, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     private = F.transform(F.filter("__made", lambda m: m["p"]["value"].isNotNull()), lambda m: F.struct(m["p"]["kind"].alias("kind"), m["original"].alias("original"), m["p"]["value"].alias("value")))
     empty = F.array().cast("array<struct<kind:string,original:string,value:string>>")
-    replaced = marked.withColumn("private", F.coalesce(private, empty)).withColumn(text, F.when(F.size("__found") > 0, joined).otherwise(source))
+    replaced = marked.withColumn(out, F.coalesce(private, empty)).withColumn(text, F.when(F.size("__found") > 0, joined).otherwise(source))
     return replaced.drop("__found", "__made")
 
 

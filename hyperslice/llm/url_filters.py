@@ -200,7 +200,7 @@ def judge(pages: DataFrame, rules=RULES, blocked_hosts: tuple | DataFrame = BLOC
     judged = chosen.mapInArrow(run, f"`{key}` {chosen.dtypes[0][1]}, host string, path string, rule string, verdict string")
     if not joined:
         return judged
-    domains = F.transform(F.sequence(F.lit(1), F.size(F.split("host", r"\."))), lambda i: F.substring_index("host", ".", -i))
+    domains = F.transform(F.sequence(F.lit(1), F.size(F.split("host", r"\."))), lambda i: F.call_function("substring_index", F.col("host"), F.lit("."), -i))
     hit = judged.select("host").distinct().select("host", F.explode(domains).alias("key")).join(listed, "key", "left_semi").select("host", F.lit("block").alias("method")).distinct()
     return judged.join(hit, "host", "left").select(key, "host", "path", "rule", F.coalesce("verdict", "method", F.lit("allow")).alias("verdict"))
 
