@@ -178,14 +178,14 @@ def held_out_psnr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH v AS (SELECT (value - e) * (value - e) AS r, value, (a + b) % 5 = 0 AS held, value > 9000000 AS fg FROM (SELECT *, value * 1.01e0 + 5 AS e FROM {_VOL})),
+    f"""WITH v AS (SELECT (value - e) * (value - e) AS r, value, (a + b) % 5 = 0 AS held, a <= 3 AS fg FROM (SELECT *, value * 1.01e0 + 5 AS e FROM {_VOL})),
     s AS (SELECT count(*) FILTER (held AND fg) AS n1, count(*) FILTER (held AND NOT fg) AS n0, sum(r) FILTER (held AND fg) AS e1, sum(r) FILTER (held AND NOT fg) AS e0, max(value) - min(value) AS span FROM v)
     SELECT round(10 * log10(span * span / ((e1 + n1 / (2.0e0 * n0) * e0) / (n1 + n1 / (2.0e0 * n0) * n0))), 6) AS psnr FROM s"""
 )
 def weighted_psnr(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = volume(spark, sf_dir)
     value, held = F.col("value"), (F.col("a") + F.col("b")) % 5 == 0
-    return v.agg(F.round(raster.weighted_psnr(value, value * 1.01 + 5, held, value > 9000000, 2.0), 6).alias("psnr"))
+    return v.agg(F.round(raster.weighted_psnr(value, value * 1.01 + 5, held, F.col("a") <= 3, 2.0), 6).alias("psnr"))
 
 
 @query(

@@ -78,7 +78,7 @@ def undirected_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.undirected(edges(spark, sf_dir), "src", "dst")
 
 
-_COMPONENTS = f"""RECURSIVE e AS (SELECT src AS a, dst AS b FROM {EDGES} WHERE dst < 1500 UNION SELECT dst, src FROM {EDGES} WHERE dst < 1500),
+_COMPONENTS = f"""RECURSIVE e AS (SELECT src AS a, dst AS b FROM {EDGES} WHERE dst IN (SELECT c_custkey FROM customer) UNION SELECT dst, src FROM {EDGES} WHERE dst IN (SELECT c_custkey FROM customer)),
     r AS (SELECT c_custkey AS id, c_custkey AS root FROM customer UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id WHERE r.root < e.b),
     m AS (SELECT id, min(root) AS root FROM r GROUP BY id)"""
 

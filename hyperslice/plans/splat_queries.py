@@ -243,7 +243,7 @@ def barrier_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infer.barrier_axes(read(spark, sf_dir, "lineitem"), ["l_linenumber", "l_tax", "l_quantity", "l_orderkey"])
 
 
-@query("WITH d AS (SELECT DISTINCT p_brand, p_size AS v FROM part WHERE p_size % 6 = 0), g AS (SELECT p_brand, v - lag(v) OVER (PARTITION BY p_brand ORDER BY v) AS gap FROM d) SELECT p_brand, coalesce(CASE WHEN bool_and(gap % 12 = 0) THEN 12.0e0 ELSE 6.0e0 END, 1.0e0) AS step FROM g WHERE gap IS NOT NULL GROUP BY p_brand")
+@query("WITH d AS (SELECT DISTINCT p_brand, p_size AS v FROM part WHERE p_size % 6 = 0), g AS (SELECT p_brand, v - lag(v) OVER (PARTITION BY p_brand ORDER BY v) AS gap FROM d) SELECT p_brand, coalesce(list_reduce(list(gap) FILTER (gap IS NOT NULL), lambda x, y: gcd(x, y)), 1)::DOUBLE AS step FROM g GROUP BY p_brand")
 def discrete_step_gcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infer.discrete_step(read(spark, sf_dir, "part").filter("p_size % 6 = 0"), "p_size", ["p_brand"])
 
