@@ -12,6 +12,8 @@ other half. The network is a fold whose state is a struct, so its plan stays sma
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,11 @@ EPOCH, DAYS, LEFT_DAYS, RIGHT_DAYS = "1800-01-01", 146097, 189, 773
 AREAS, GROUPS, SERIALS = 898, 99, 9999
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it occurs there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _hash(*parts: Column) -> Column:
     """60 keyed bits."""
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(KEY), *[p.cast("string") for p in parts]), 256), 1, 15), 16, 10).cast("bigint")
@@ -56,36 +63,38 @@ def feistel(left: Column, right: Column, lefts: Column, rights: Column, kind: st
 
 
 def _characters(text: Column) -> Column:
-    return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    def cut(t: Column) -> Column:
+        return F.when(F.length(t) > 0, F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.substring(t, i, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+
+    return let(text, cut)
 
 
 def feistel_text(text: Column, kind: str) -> Column:
     """``text`` with its letters and digits permuted: each stays a digit, a capital, or a small letter; small hexadecimal text stays so."""
-    half = F.floor(F.length(text) / 2).cast("int")
-    start = F.struct(F.substring(text, F.lit(1), half).alias("a"), F.substring(text, half + 1, F.length(text)).alias("b"))
-    small = text.rlike("^[0-9a-f]+$") & text.rlike("[a-f]") & text.rlike("[0-9]")
-    hexadecimal = "0123456789abcdef"
+    hexadecimal = F.lit("0123456789abcdef")
 
-    def mix(s: Column, r: Column) -> Column:
-        def shifted(c: Column, i: Column) -> Column:
-            by = _hash(F.lit(kind), small, r, i, s["b"])
-            code = F.ascii(c)
+    def network(whole: Column) -> Column:
+        half = F.floor(F.length(whole) / 2).cast("int")
+        small = whole.rlike("^[0-9a-f]+$") & whole.rlike("[a-f]") & whole.rlike("[0-9]")
+        start = F.struct(F.substring(whole, F.lit(1), half).alias("a"), F.substring(whole, half + 1, F.length(whole)).alias("b"), small.alias("small"))
+
+        def mix(s: Column, r: Column) -> Column:
+            def shifted(c: Column, i: Column) -> Column:
+                code = F.ascii(c)
+                first = F.when(code.between(48, 57), 48).when(code.between(65, 90), 65).when(code.between(97, 122), 97)
+                size = F.when(code.between(48, 57), 10).otherwise(26)
 
-            def within(first: int, size: int) -> Column:
-                return F.char((F.lit(first) + (code - first + by) % size).cast("bigint"))
+                def by(k: Column) -> Column:
+                    in_hex = F.substring(hexadecimal, ((F.call_function("instr", hexadecimal, c) - 1 + k) % 16 + 1).cast("int"), F.lit(1))
+                    return F.when(s["small"], in_hex).when(first.isNotNull(), F.char((first + (code - first + k) % size).cast("bigint"))).otherwise(c)
 
-            in_hex = F.substring(F.lit(hexadecimal), ((F.call_function("instr", F.lit(hexadecimal), c) - 1 + by) % 16 + 1).cast("int"), F.lit(1))
-            return (
-                F.when(small, in_hex)
-                .when(code.between(48, 57), within(48, 10))
-                .when(code.between(65, 90), within(65, 26))
-                .when(code.between(97, 122), within(97, 26))
-                .otherwise(c)
-            )
+                return let(_hash(F.lit(kind), s["small"], r, i, s["b"]), by)
 
-        return F.struct(s["b"].alias("a"), F.array_join(F.transform(_characters(s["a"]), shifted), "").alias("b"))
+            return F.struct(s["b"].alias("a"), F.array_join(F.transform(_characters(s["a"]), shifted), "").alias("b"), s["small"].alias("small"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, mix, lambda s: F.concat(s["a"], s["b"]))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, mix, lambda s: F.concat(s["a"], s["b"]))
+
+    return let(text, network)
 
 
 def _digits(text: Column) -> Column:
@@ -94,34 +103,44 @@ def _digits(text: Column) -> Column:
 
 def feistel_digits(digits: Column, kind: str) -> Column:
     """A string of 2 to 36 digits, permuted among those of its length."""
-    left = F.floor(F.length(digits) / 2).cast("int")
-    right = F.length(digits) - left
-    lefts, rights = F.pow(F.lit(10.0), left).cast("bigint"), F.pow(F.lit(10.0), right).cast("bigint")
-    pair = feistel(F.substring(digits, F.lit(1), left), F.substring(digits, left + 1, right), lefts, rights, f"{kind}")
-    return F.concat(F.lpad(pair["a"].cast("string"), left, "0"), F.lpad(pair["b"].cast("string"), right, "0"))
 
+    def network(d: Column) -> Column:
+        left = F.floor(F.length(d) / 2).cast("int")
+        right = F.length(d) - left
+        lefts, rights = F.pow(F.lit(10.0), left).cast("bigint"), F.pow(F.lit(10.0), right).cast("bigint")
+        pair = feistel(F.substring(d, F.lit(1), left), F.substring(d, left + 1, right), lefts, rights, kind)
+        return let(pair, lambda p: F.concat(F.lpad(p["a"].cast("string"), left, "0"), F.lpad(p["b"].cast("string"), right, "0")))
+
+    return let(digits, network)
 
-def _spread(text: Column, digits: Column) -> Column:
-    """``text`` with its digits replaced, in order, by those of ``digits``."""
+
+def _spread(text: Column, digits: Column, taken: Callable[[Column], Column] = lambda c: c.between("0", "9")) -> Column:
+    """``text`` with its digits (or what ``taken`` says) replaced, in order, by the characters of ``digits``."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("n"))
 
-    def put(s: Column, c: Column) -> Column:
-        is_digit = c.between("0", "9")
-        return F.struct(F.concat(s["out"], F.when(is_digit, F.substring(digits, s["n"], F.lit(1))).otherwise(c)).alias("out"), (s["n"] + is_digit.cast("int")).alias("n"))
+    def place(made: Column) -> Column:
+        def put(s: Column, c: Column) -> Column:
+            return F.struct(F.concat(s["out"], F.when(taken(c), F.substring(made, s["n"], F.lit(1))).otherwise(c)).alias("out"), (s["n"] + taken(c).cast("int")).alias("n"))
+
+        return F.aggregate(_characters(text), start, put, lambda s: s["out"])
 
-    return F.aggregate(_characters(text), start, put, lambda s: s["out"])
+    return let(digits, place)
 
 
 def luhn_sum(digits: Column) -> Column:
     """The sum by Luhn's rule: every second digit from the right, the last left out, counts doubled."""
-    n = F.length(digits)
 
-    def add(s: Column, i: Column) -> Column:
-        d = F.substring(digits, i, F.lit(1)).cast("int")
-        twice = F.when(d > 4, 2 * d - 9).otherwise(2 * d)
-        return s + F.when((n - i) % 2 == 1, twice).otherwise(d)
+    def total(text: Column) -> Column:
+        n = F.length(text)
+
+        def add(s: Column, i: Column) -> Column:
+            d = F.substring(text, i, F.lit(1)).cast("int")
+            twice = F.when(d > 4, 2 * d - 9).otherwise(2 * d)
+            return s + F.when((n - i) % 2 == 1, twice).otherwise(d)
+
+        return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add)
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add)
+    return let(digits, total)
 
 
 def _remainder97(text: Column) -> Column:
@@ -136,41 +155,40 @@ def _remainder97(text: Column) -> Column:
 
 
 def _card(x: Column) -> Column:
-    digits = _digits(x)
-    body = feistel_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), "card")
-    check = (10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
-    return F.when((luhn_sum(digits) % 10 == 0) & ~digits.rlike("^0+$"), _spread(x, F.concat(body, check.cast("string"))))
+    def made(digits: Column) -> Column:
+        body = feistel_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), "card")
+        whole = let(body, lambda b: F.concat(b, ((10 - luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
+        return F.when((luhn_sum(digits) % 10 == 0) & ~digits.rlike("^0+$"), _spread(x, whole))
 
+    return let(_digits(x), made)
 
-def _iban(x: Column) -> Column:
-    bare = F.replace(x, F.lit(" "), F.lit(""))
-    body = feistel_text(F.substring(bare, F.lit(5), F.length(bare)), "iban")
-    country = F.substring(bare, 1, 2)
-    check = F.lpad((98 - _remainder97(F.concat(country, F.lit("00"), body))).cast("string"), 2, "0")
-    made = F.concat(country, check, body)
-    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("n"))
 
-    def put(s: Column, c: Column) -> Column:
-        blank = c == " "
-        return F.struct(F.concat(s["out"], F.when(blank, c).otherwise(F.substring(made, s["n"], F.lit(1)))).alias("out"), (s["n"] + (~blank).cast("int")).alias("n"))
+def _iban(x: Column) -> Column:
+    def made(bare: Column) -> Column:
+        country = F.substring(bare, 1, 2)
+        body = feistel_text(F.substring(bare, F.lit(5), F.length(bare)), "iban")
+        whole = let(body, lambda b: F.concat(country, F.lpad((98 - _remainder97(F.concat(country, F.lit("00"), b))).cast("string"), 2, "0"), b))
+        return F.when(F.length(bare).between(15, 34) & (_remainder97(bare) == 1), _spread(x, whole, lambda c: c != " "))
 
-    return F.when(F.length(bare).between(15, 34) & (_remainder97(bare) == 1), F.aggregate(_characters(x), start, put, lambda s: s["out"]))
+    return let(F.replace(x, F.lit(" "), F.lit("")), made)
 
 
 def _phone(x: Column) -> Column:
-    digits = _digits(x)
-    code = F.length(F.regexp_extract(x, r"^\+([0-9]{1,3})(?=[ .(-])", 1))  # a country code that stands apart stays
-    rest = F.substring(digits, code + 1, F.length(digits))
-    made = F.concat(F.substring(digits, F.lit(1), code), feistel_digits(rest, "phone"))
-    return F.when(F.length(digits).between(8, 15) & (F.length(rest) >= 6), _spread(x, made))
+    def made(digits: Column) -> Column:
+        code = F.length(F.regexp_extract(x, r"^\+([0-9]{1,3})(?=[ .(-])", 1))  # a country code that stands apart stays
+        rest = F.substring(digits, code + 1, F.length(digits))
+        whole = F.concat(F.substring(digits, F.lit(1), code), feistel_digits(rest, "phone"))
+        return F.when(F.length(digits).between(8, 15) & (F.length(rest) >= 6), _spread(x, whole))
+
+    return let(_digits(x), made)
 
 
 def _address(x: Column) -> Column:
     parts = F.split(x, r"\.")
     byte = [F.element_at(parts, i).cast("int") for i in (1, 2, 3, 4)]
     pair = feistel(byte[0] * 256 + byte[1], byte[2] * 256 + byte[3], F.lit(65536), F.lit(65536), "address")
-    halves = F.transform(F.array(pair), lambda p: F.concat_ws(".", F.shiftright(p["a"], 8), p["a"] % 256, F.shiftright(p["b"], 8), p["b"] % 256))
-    return F.when(F.forall(parts, lambda p: p.cast("int") <= 255), F.element_at(halves, 1))
+    shown = let(pair, lambda p: F.concat_ws(".", F.shiftright(p["a"], 8), p["a"] % 256, F.shiftright(p["b"], 8), p["b"] % 256))
+    return F.when(F.forall(parts, lambda p: p.cast("int") <= 255), shown)
 
 
 def _social(x: Column) -> Column:
@@ -185,7 +203,7 @@ def _social(x: Column) -> Column:
         padded = [F.lpad(v.cast("string"), n, "0") for v, n in ((number, 3), (p["a"] % GROUPS + 1, 2), (p["b"] + 1, 4))]
         return F.concat_ws("-", *padded)
 
-    return F.when(valid, F.element_at(F.transform(F.array(pair), shown), 1))
+    return F.when(valid, let(pair, shown))
 
 
 def _date(x: Column) -> Column:
@@ -204,7 +222,7 @@ def _date(x: Column) -> Column:
         d = F.date_add(F.lit(EPOCH).cast("date"), (p["a"] * RIGHT_DAYS + p["b"]).cast("int"))
         return F.when(iso, F.date_format(d, "yyyy-MM-dd")).when(slashes, F.date_format(d, "MM/dd/yyyy")).otherwise(F.date_format(d, "dd.MM.yyyy"))
 
-    return F.when(valid, F.element_at(F.transform(F.array(pair), shown), 1))
+    return F.when(valid, let(pair, shown))
 
 
 def _email(x: Column) -> Column:
