@@ -1,7 +1,10 @@
 """Personal data: format-preserving Feistel pseudonyms, in DataFrame operations only.
 
-One pattern finds candidates; each is validated by its kind (check digits, ranges, the
-calendar), and what fails stays as it is. A valid value is permuted within its format
+One pattern finds the candidates that begin at each place of a text; each is validated by
+its kind (check digits, ranges, the calendar), and what fails stays as it is. Of valid ones
+that overlap the first stands. A candidate ends with its kind's own groups, so a number
+next to a value isn't part of it; only a phone number whose country code isn't in
+``LENGTHS`` takes groups of digits that follow, to 15 digits in all. A valid value is permuted within its format
 by a keyed, balanced or unbalanced Feistel network over exactly the values of that
 format, so no two values share a pseudonym and equal values keep theirs in every
 document, however they are punctuated. Numbers, addresses and dates are permuted as
@@ -22,18 +25,35 @@ from .common import read
 KEY = "a secret that the deployment supplies"
 ROUNDS = 8
 
+DATE = r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z/-])"
+ADDRESS = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"
+SOCIAL = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
+NATIONAL = r"(?<![0-9A-Za-z])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z]|-[0-9])"
+#: A card's own groups: none, fours with up to 3 more digits, or 4-6-4 and 4-6-5.
+FOURS = r"[0-9]{4}(?:[ -][0-9]{4}){3}"
+GROUPED = rf"(?:[0-9]{{13,19}}|{FOURS}(?:[ -](?!{DATE}|{ADDRESS}|{SOCIAL}|{NATIONAL})[0-9]{{1,3}})?|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{4,5}})(?![0-9A-Za-z])"
+#: What a longer number never runs into.
+APART = f"(?!{DATE}|{ADDRESS}|{SOCIAL}|(?<![0-9A-Za-z]){GROUPED})"
+#: A card in other groups: a whole run of digits, from its start or behind another value.
+UNGROUPED = rf"(?:(?<![0-9][ -])|(?<=[./-][0-9]{{1,4}} )|(?<=[0-9]{{13}}[ -]))[0-9](?:[ -]?(?!{DATE}|{ADDRESS}|{SOCIAL}|{NATIONAL})[0-9]){{12,18}}(?![0-9A-Za-z])(?![ -](?!{DATE}|{ADDRESS}|{SOCIAL}|{NATIONAL})[0-9])"
+#: Digits after country codes whose numbers have one length; others have 8 to 15 digits with the code.
+LENGTHS = {10: "1|7|44|91", 9: "31|33|34|41|48|61|351"}
+_DIGIT = rf"[ .-]?{APART}\(?[0-9]\)?"
+ABROAD = "|".join([*(rf"\+(?:{codes})(?:[ .-]?\(0\))?(?:{_DIGIT}){{{n}}}(?![0-9A-Za-z])" for n, codes in LENGTHS.items()), rf"\+[0-9](?:{_DIGIT}){{7}}(?:[ .-]?(?!{NATIONAL}){_DIGIT[6:]}){{0,7}}(?![0-9A-Za-z])"])
+
 #: Kinds in the order in which they are tried, each with its pattern. Word characters never touch a match of digits.
 KINDS = {
     "secret": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:password|passwd|secret|token|api_?key)[ ]?[=:][ ]?\"?[A-Za-z0-9]{12,}(?![A-Za-z0-9])",
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z/-])",
-    "address": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
-    "social": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
-    "phone": r"(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z]|-[0-9])",
-    "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[ -][0-9])",
+    "date": DATE,
+    "address": ADDRESS,
+    "social": SOCIAL,
+    "phone": rf"(?<![0-9A-Za-z])(?:{ABROAD})|{NATIONAL}",
+    "card": rf"(?<![0-9A-Za-z])(?:{GROUPED}|{UNGROUPED})",
 }
-ANY = "|".join(KINDS.values())
+#: Found at every place, so that a candidate which isn't valid hides no other that begins within it.
+ANY = f"(?=({'|'.join(KINDS.values())}))"
 #: A text without one of these holds no candidate.
 HINT = r"[0-9@]|AKIA|[=:][ ]?\"?[A-Za-z0-9]{12}"
 
@@ -239,14 +259,43 @@ def _secret(x: Column) -> Column:
 PSEUDONYMS = {"secret": _secret, "email": _email, "iban": _iban, "date": _date, "address": _address, "social": _social, "phone": _phone, "card": _card}
 
 
+def _iban_within(x: Column) -> Column:
+    """The longest run of leading groups that is an IBAN: words may follow that look like groups."""
+
+    def longest(groups: Column) -> Column:
+        heads = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(groups, F.lit(1), n), " "))
+        return F.get(F.filter(heads, lambda h: let(F.replace(h, F.lit(" "), F.lit("")), lambda bare: F.length(bare).between(15, 34) & (_remainder97(bare) == 1))), F.lit(0))
+
+    return let(F.split(x, " "), longest)
+
+
+def _passes(x: Column) -> Column:
+    return luhn_sum(_digits(x)) % 10 == 0
+
+
+def _card_within(x: Column) -> Column:
+    """Four fours before what may follow them; nothing where a card in groups of its own stands behind the first digits."""
+    fours = F.regexp_extract(x, f"^{FOURS}", 0)
+    behind = F.filter(F.regexp_extract_all(x, F.lit(f"(?<=[ -])(?=({GROUPED}))"), 1), _passes)
+    own = x.rlike(f"^{GROUPED}$")
+    return F.when((F.length(fours) > 0) & _passes(fours), fours).when(own | (F.size(behind) == 0), x)
+
+
+#: Where a candidate can be longer than its value: the part that is the value.
+WITHIN = {"iban": _iban_within, "card": _card_within}
+
+
 def pseudonym(x: Column) -> Column:
-    """A struct (kind, value) for a candidate; value is null where it isn't valid."""
-    kind = value = None
+    """A struct (kind, original, value) for a candidate; value is null where it isn't valid."""
+
+    def found(name: str) -> Column:
+        return let(WITHIN[name](x) if name in WITHIN else x, lambda part: F.struct(F.lit(name).alias("kind"), part.alias("original"), PSEUDONYMS[name](part).alias("value")))
+
+    made = None
     for name, pattern in KINDS.items():
         whole = x.rlike(f"^(?:{pattern})$")
-        kind = F.when(whole, F.lit(name)) if kind is None else kind.when(whole, F.lit(name))
-        value = F.when(whole, PSEUDONYMS[name](x)) if value is None else value.when(whole, PSEUDONYMS[name](x))
-    return F.struct(kind.alias("kind"), value.alias("value"))
+        made = F.when(whole, found(name)) if made is None else made.when(whole, found(name))
+    return made
 
 
 def pseudonymise(docs: DataFrame, text: str = "text", out: str = "private") -> DataFrame:
@@ -257,17 +306,32 @@ def pseudonymise(docs: DataFrame, text: str = "text", out: str = "private") -> D
     the input is replaced.
     """
     source = F.col(text)
-    found = F.when(source.rlike(HINT), F.regexp_extract_all(source, F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
-    marked = docs.withColumn("__found", F.coalesce(found, F.array().cast("array<string>")))
-    made = F.transform("__found", lambda x: F.struct(pseudonym(x).alias("p"), x.alias("original")))
-    marked = marked.withColumn("__made", F.when(F.size("__found") > 0, made))
-    between = F.split(source, ANY, -1)
-    values = F.transform("__made", lambda m: F.coalesce(m["p"]["value"], m["original"]))
-    joined = F.array_join(F.flatten(F.zip_with(between, values, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    private = F.transform(F.filter("__made", lambda m: m["p"]["value"].isNotNull()), lambda m: F.struct(m["p"]["kind"].alias("kind"), m["original"].alias("original"), m["p"]["value"].alias("value")))
+    started = F.concat(F.lit("\n"), source)  # so that the first piece holds no candidate
+    none = F.array().cast("array<string>")
+    found = F.when(source.rlike(HINT), F.regexp_extract_all(started, F.lit(ANY), 1)).otherwise(none)
+    marked = docs.withColumn("__found", F.coalesce(found, none))
+    marked = marked.withColumn("__made", F.transform("__found", pseudonym))
+    marked = marked.withColumn("__pieces", F.when(F.size("__found") > 0, F.split(started, ANY, -1)))
     empty = F.array().cast("array<struct<kind:string,original:string,value:string>>")
-    replaced = marked.withColumn(out, F.coalesce(private, empty)).withColumn(text, F.when(F.size("__found") > 0, joined).otherwise(source))
-    return replaced.drop("__found", "__made")
+    begin = F.struct(F.slice("__pieces", 1, 1).alias("parts"), empty.alias("private"), F.lit(0).alias("ahead"))
+
+    def put(s: Column, at: Column) -> Column:
+        """ahead: characters of this piece and the next ones that belong to a replaced value."""
+        piece, made = at["piece"], at["made"]
+        taken = (s["ahead"] == 0) & made["value"].isNotNull()
+        gone = F.when(taken, F.length(made["original"])).otherwise(s["ahead"])
+        rest = F.substring(piece, gone + 1, F.length(piece))
+        return F.struct(
+            F.concat(s["parts"], F.array(F.when(taken, F.concat(made["value"], rest)).otherwise(rest))).alias("parts"),
+            F.when(taken, F.concat(s["private"], F.array(made))).otherwise(s["private"]).alias("private"),
+            F.greatest(F.lit(0), gone - F.length(piece)).alias("ahead"),
+        )
+
+    places = F.zip_with(F.slice("__pieces", F.lit(2), F.size("__found")), "__made", lambda p, m: F.struct(p.alias("piece"), m.alias("made")))
+    marked = marked.withColumn("__done", F.when(F.size("__found") > 0, F.aggregate(places, begin, put)))
+    joined = F.array_join("__done.parts", "")
+    replaced = marked.withColumn(out, F.coalesce("__done.private", empty)).withColumn(text, F.when(F.col("__done").isNotNull(), F.substring(joined, F.lit(2), F.length(joined))).otherwise(source))
+    return replaced.drop("__found", "__made", "__pieces", "__done")
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

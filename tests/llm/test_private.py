@@ -72,3 +72,39 @@ def test_awkward_rows(spark, awkward, nothing):
 
 def test_dates_cover_the_cycle():
     assert date(1800, 1, 1) + timedelta(days=pii.DAYS - 1) == date(2199, 12, 31) and pii.LEFT_DAYS * pii.RIGHT_DAYS == pii.DAYS
+
+
+def test_values_side_by_side(spark):
+    card, other, phone, ip = "4763 5799 5698 0330", "4111111111111111", "+1 (826) 555-4081", "190.137.223.204"
+    iban = "BE68539007547034"
+    expected = [
+        (f"{phone} {ip}", [phone, ip]),
+        (f"{other} {other}", [other, other]),
+        (f"{card} {card} {other}", [card, card, other]),
+        (f"order 7 {card}", [card]),
+        (f"{card} 2024", [card]),
+        (f"{card} 123", [card]),
+        (f"1111 {card}", [card]),
+        (f"{phone} 12 apples", [phone]),
+        (f"+44 20 7946 0958 {ip}", ["+44 20 7946 0958", ip]),
+        (f"+49 30 901820 {ip} {phone}", ["+49 30 901820", ip, phone]),
+        (f"+49 30 901820 {card}", ["+49 30 901820", card]),
+        (f"{phone} {phone}, {phone} (826) 555-4081", [phone, phone, phone, "(826) 555-4081"]),
+        (f"{iban} {iban} AND MORE", [iban, iban]),
+        (f"{ip} 1987-02-28 123-45-6789 {card} {ip}", [ip, "1987-02-28", "123-45-6789", card, ip]),
+        (f"{card} {phone}", [card, phone]),
+        ("47 6357 9956 9803 30", ["47 6357 9956 9803 30"]),
+        (f"{ip} 47 6357 9956 9803 30", [ip, "47 6357 9956 9803 30"]),
+        ("999.1.1.1 4763579956980331 000-12-3456", []),
+    ]
+    found = private(spark, [t for t, _ in expected])
+    for i, (text, values) in enumerate(expected):
+        r = found[i]
+        assert [p.original for p in r.private] == values, text
+        out, at = "", 0
+        for p in r.private:
+            k = text.index(p.original, at)
+            out, at = out + text[at:k] + p.value, k + len(p.original)
+        assert r.text == out + text[at:]
+    linked = {p.value.replace(" ", "") for r in found.values() for p in r.private if p.original == card}
+    assert len(linked) == 1
