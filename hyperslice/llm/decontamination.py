@@ -83,19 +83,12 @@ def alignments(docs: DataFrame, items: DataFrame, windows: DataFrame, key: str =
     return stored(listed.join(sized(needed), "k").filter(agree).select("key", "k", "delta"), "alignments")
 
 
-def phrase_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(key, n_words, n_hit, items) of every row of ``docs``.
-
-    n_hit counts the words inside any occurrence of a test window, items lists (sorted
-    as strings) the ids of the items with an occurring window. A window is ``window``
-    consecutive words of an item, or a shorter item as a whole. Null and empty texts
-    have no words and no hits, on either side; repeated rows give repeated results;
-    null keys are matched like any other; an empty benchmark hits nothing.
-    """
+def _matches(docs: DataFrame, benchmark: DataFrame, window: int, key: str, text: str, item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """What ``phrase_matches`` finds, with ``row`` and the digest of the row's text."""
     items = test_items(benchmark, item, item_text)
     windows = rare_terms(items, corpus_counts(docs, items, text), window)
     near = alignments(docs, items, windows, key, text)
-    every = docs.select(F.col(key).alias("key"), words_of(F.col(text)).alias("words")).withColumn("row", F.monotonically_increasing_id())
+    every = docs.select(F.col(key).alias("key"), words_of(F.col(text)).alias("words"), F.sha2(text, 256).alias("digest")).withColumn("row", F.monotonically_increasing_id())
     aligned = sized(near.withColumnRenamed("key", "near"))
     tested = every.join(aligned, F.col("key").eqNullSafe(F.col("near")), "left")
     tested = tested.join(sized(items.select("k", "ids", F.col("words").alias("item"))), "k", "left")
@@ -107,13 +100,26 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
     )
     starts = F.when(F.col("k").isNotNull() & (low <= high), starts).otherwise(F.array().cast("array<int>"))
     places = F.array_distinct(F.flatten(F.transform("starts", lambda j: F.sequence(F.col("delta") + j, F.col("delta") + j + size - 1))))
-    hit = tested.withColumn("starts", starts).select("key", "row", F.size("words").alias("n_words"), places.alias("places"), F.when(F.size("starts") > 0, F.col("ids")).alias("ids"))
-    found = hit.groupBy("row").agg(
+    hit = tested.withColumn("starts", starts).select("key", "digest", "row", F.size("words").alias("n_words"), places.alias("places"), F.when(F.size("starts") > 0, F.col("ids")).alias("ids"))
+    return hit.groupBy("row").agg(
         F.first("key").alias("key"),
+        F.first("digest").alias("digest"),
         F.first("n_words").cast("bigint").alias("n_words"),
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("bigint").alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("items"),
     )
+
+
+def phrase_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(key, n_words, n_hit, items) of every row of ``docs``.
+
+    n_hit counts the words inside any occurrence of a test window, items lists (sorted
+    as strings) the ids of the items with an occurring window. A window is ``window``
+    consecutive words of an item, or a shorter item as a whole. Null and empty texts
+    have no words and no hits, on either side; repeated rows give repeated results;
+    null keys are matched like any other; an empty benchmark hits nothing.
+    """
+    found = _matches(docs, benchmark, window, key, text, item, item_text)
     return found.select(F.col("key").alias(key), "n_words", "n_hit", "items")
 
 
@@ -138,10 +144,10 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, terms: int = 3, spa
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with their columns, whose text holds no test window."""
-    hit = phrase_matches(docs, benchmark, key, text).filter("n_hit > 0").select(F.col(key).alias("__hit")).distinct()
+    """The rows of ``docs``, with their columns, whose text holds no test window. Rows go by key and text: others of the same or no key stay."""
+    hit = _matches(docs, benchmark, WINDOW, key, text).filter("n_hit > 0").select(F.col("key").alias("__hit"), F.col("digest").alias("__digest")).distinct()
     hit = sized(stored(hit, "hit"))
-    return docs.join(hit, docs[key].eqNullSafe(hit["__hit"]), "left_anti")
+    return docs.join(hit, docs[key].eqNullSafe(hit["__hit"]) & (F.sha2(docs[text], 256) == hit["__digest"]), "left_anti")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

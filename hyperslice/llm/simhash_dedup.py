@@ -220,6 +220,16 @@ def components(edges: DataFrame) -> DataFrame:
         now = stored(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct(), "edges")
 
 
+def _rooted(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(key, fp) of every row, and (fp, least, root) of every fingerprint: its least key and its component's least fingerprint."""
+    bounded_batches(docs.sparkSession)
+    marked = stored(docs.select(F.col(key).alias("key"), fingerprint_of(F.col(text)).alias("fp")), "fingerprints")
+    distinct = stored(marked.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
+    roots = components(links(distinct.select("fp")))
+    of = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return marked, of
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp, component) of every row: the fingerprint, and the least key that links of up to 3 differing bits reach.
 
@@ -227,11 +237,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     never are the least; a component of null keys alone has a null component.
     Repeated rows are linked like copies. An empty table gives an empty result.
     """
-    bounded_batches(docs.sparkSession)
-    marked = stored(docs.select(F.col(key).alias("key"), fingerprint_of(F.col(text)).alias("fp")), "fingerprints")
-    distinct = stored(marked.groupBy("fp").agg(F.min("key").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp")))
-    of = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    marked, of = _rooted(docs, key, text)
     least = of.groupBy("root").agg(F.min("least").alias("component"))
     named = of.join(least, "root").select("fp", "component")
     return marked.join(named, "fp").select(F.col("key").alias(key), "fp", "component")
@@ -240,11 +246,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with one left of each component: that of the least key (of repeated rows one).
 
-    Rows whose key is null stand for themselves only where no other key is in their component.
+    A row whose key is null is left only where no other key is in its component. Unlike
+    texts stay, each for itself, whether their keys are null or the same.
     """
-    found = near_duplicates(docs, key, text)
-    chosen = found.filter(F.col(key).eqNullSafe(F.col("component"))).groupBy(F.col(key).alias("__key"), "component").agg(F.min("fp").alias("__fp"))
-    chosen = chosen.select("__key", "__fp")
+    _, of = _rooted(docs, key, text)
+    chosen = of.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("one"))
+    chosen = chosen.select(F.col("one.least").alias("__key"), F.col("one.fp").alias("__fp"))
     marked = docs.withColumn("__at", fingerprint_of(F.col(text)))
     kept = marked.join(chosen, marked[key].eqNullSafe(chosen["__key"]) & (marked["__at"] == chosen["__fp"]))
     order = Window.partitionBy("__key", "__fp").orderBy(F.xxhash64(text))

@@ -153,3 +153,23 @@ def test_proximity(spark):
     bench = spark.createDataFrame([(7, "alpha beta gamma")], "item_id long, text string")
     found = {(r.doc_id, r.first_pos, r.last_pos) for r in decontamination.proximity_matches(docs, bench, span=6).collect()}
     assert found == {(1, 0, 5), (3, 0, 2)}
+
+
+def test_rows_with_no_key_or_one_key_are_not_mixed(spark):
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+
+    def prose():
+        return " ".join("".join(rng.choice(letters, 6)) for _ in range(60))
+
+    unlike = [prose() for _ in range(6)]
+    leak = prose()
+    kept = [(None, unlike[0]), (None, unlike[1]), (None, unlike[2]), (7, unlike[3]), (7, unlike[4]), (8, unlike[5])]
+    rows = [*kept, (None, unlike[0]), (None, unlike[5]), (9, unlike[5]), (7, unlike[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, simhash_dedup.one_of_each(docs).collect())) == sorted(map(str, spark.createDataFrame(kept, docs.schema).collect()))
+
+    bench = spark.createDataFrame([(1, " ".join(leak.split()[20:40]))], "item_id long, text string")
+    leaks = spark.createDataFrame([(None, leak), (7, leak), (None, None)], docs.schema)
+    clean = decontamination.clean(docs.unionByName(leaks), bench).collect()
+    assert sorted(map(str, clean)) == sorted(map(str, [*docs.collect(), *leaks.filter("text is null").collect()]))
