@@ -25,6 +25,15 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name from ``name`` that ``df`` doesn't have in any case."""
+    taken = {c.lower() for c in df.columns}
+    made = f"__{name}"
+    while made in taken:
+        made = f"_{made}"
+    return made
+
+
 def cut_dir(spark: SparkSession) -> None:
     """See that there is a folder for checkpoints: the one that ``spark.checkpoint.dir`` names, or one of this machine where that is unset (in tests)."""
     sc = spark.sparkContext
