@@ -35,7 +35,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are replaced by pseudonyms, and n_chars is that of the new text."""
-    done = pii.pseudonymise(docs, out="__private").withColumn("n_chars", F.char_length("text").cast("bigint"))
+    done = pii.pseudonymise(docs, out="__private", key=pii.synthetic_key(spark)).withColumn("n_chars", F.char_length("text").cast("bigint"))
     return done.select(*docs.columns)
 
 
