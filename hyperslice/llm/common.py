@@ -20,9 +20,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep the Arrow batches of this session small, whatever the length of a text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    """Keep the Arrow batches of this session small, whatever the length of a text.
+
+    Spark reads these settings when a lazy result runs, so they stay for the session; a
+    setting that is smaller already is left alone.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(name, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
+def distinct_names(keys: list[str], made: list[str]) -> None:
+    """Refuse keys that bear the name of a result column, or a name twice: Spark takes names without regard to case."""
+    names = [n.lower() for n in [*keys, *made]]
+    again = sorted({n for n in names if names.count(n) > 1})
+    if again:
+        raise ValueError(f"columns {again} would occur twice: rename the keys")
 
 
 def fresh(df: DataFrame, name: str) -> str:

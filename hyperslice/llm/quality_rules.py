@@ -3,12 +3,14 @@
 A linear-chain conditional random field marks every line of a text as content or
 boilerplate, Viterbi decoding finds the likeliest marks, and the share of characters
 in content lines decides retention, after rules on counts. The field is trained by
-its conditional likelihood on a bounded sample of labelled documents whose lines
-take the document's label; it generalises from those to lines of mixed documents.
+its conditional likelihood on spliced sequences: runs of lines of good and of bad
+documents, from a bounded labelled sample, stand behind one another with known
+borders, so the field learns what a line looks like as well as when to switch.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, read
+from .common import bounded_batches, distinct_names, read
 
-#: Labelled documents that the field is trained on (the least by hash of their id), and lines of a training sequence.
+#: Labelled documents that the field is trained on (the least by hash of their id), and lines of each that the driver gets (6 KB).
 TRAIN_DOCS = 1500
 TRAIN_LINES = 64
+#: Training sequences, the most runs in one, and the most lines in a run.
+SPLICED = 1500
+RUNS = 5
+RUN_LINES = 8
 STEPS = 150
 PENALTY = 1e-3
 MIN_WORDS = 50
@@ -113,47 +119,70 @@ class Field:
 
     @classmethod
     def trained(cls, sequences: list[np.ndarray], labels: list[int]) -> Field:
-        """Fitted by Adam on the penalised conditional log-likelihood; without sequences every line is content."""
-        weights, moves = np.zeros(FEATURES), np.zeros((2, 2))
-        if not sequences or len(set(labels)) < 2:
-            weights[0] = 1.0
-            return cls(weights, moves)
-        parts = [(s[i : i + TRAIN_LINES], y) for s, y in zip(sequences, labels, strict=True) for i in range(0, len(s), TRAIN_LINES)]
-        n, most = len(parts), max(len(s) for s, _ in parts)
-        x, y = np.zeros((most, n, FEATURES)), np.array([y for _, y in parts])
-        size = np.array([len(s) for s, _ in parts])
-        for k, (s, _) in enumerate(parts):
-            x[: len(s), k] = s
-        there = np.arange(most)[:, None] < size
-        share = np.where(y == 1, 0.5 / max(1, size[y == 1].sum()), 0.5 / max(1, size[y == 0].sum()))  # both labels count alike
+        """Fitted by Adam on the penalised conditional log-likelihood of spliced sequences; without both labels every line is content."""
+        if len(set(labels)) < 2:
+            return cls(np.eye(FEATURES)[0], np.zeros((2, 2)))
+        x, marks, there = spliced(sequences, labels)
         theta = np.zeros(FEATURES + 4)
         mean, square = np.zeros_like(theta), np.zeros_like(theta)
         for step in range(1, STEPS + 1):
-            weights, moves = theta[:FEATURES], theta[FEATURES:].reshape(2, 2)
-            gain = np.stack([np.zeros((most, n)), x @ weights], -1)
-            forward, backward = np.zeros((most, n, 2)), np.zeros((most, n, 2))
-            forward[0] = gain[0]
-            for t in range(1, most):
-                moved = forward[t - 1][:, :, None] + moves
-                forward[t] = np.where(there[t][:, None], np.logaddexp(moved[:, 0], moved[:, 1]) + gain[t], forward[t - 1])
-            for t in range(most - 2, -1, -1):
-                moved = (backward[t + 1] + gain[t + 1])[:, None, :] + moves
-                backward[t] = np.where(there[t + 1][:, None], np.logaddexp(moved[:, :, 0], moved[:, :, 1]), 0)
-            total = np.logaddexp(forward[-1, :, 0], forward[-1, :, 1])
-            content = np.where(there, np.exp(forward[..., 1] + backward[..., 1] - total), 0)
-            slope_w = ((there * (y - content) * share)[..., None] * x).sum((0, 1))
-            pair = forward[:-1][..., :, None] + moves + (gain[1:] + backward[1:])[..., None, :] - total[:, None, None]
-            expected = (np.where(there[1:][..., None, None], np.exp(np.where(there[1:][..., None, None], pair, -np.inf)), 0) * share[:, None, None]).sum((0, 1))
-            seen = np.zeros((2, 2))
-            seen[0, 0] = (there[1:] * (y == 0) * share).sum()
-            seen[1, 1] = (there[1:] * (y == 1) * share).sum()
-            slope = np.append(slope_w, (seen - expected).ravel()) - PENALTY * theta
+            slope = likelihood(theta, x, marks, there)[1]
             mean = 0.9 * mean + 0.1 * slope
             square = 0.99 * square + 0.01 * slope**2
             theta = theta + 0.15 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
         return cls(theta[:FEATURES].copy(), theta[FEATURES:].reshape(2, 2).copy())
 
 
+def spliced(sequences: list[np.ndarray], labels: list[int], n: int = SPLICED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features (line, sequence, feature), marks and presence (line, sequence) of ``n`` sequences of runs whose labels alternate."""
+    rng = np.random.default_rng(42)
+    of = [[s for s, y in zip(sequences, labels, strict=True) if y == k and len(s)] for k in (0, 1)]
+    made = []
+    for i in range(n):
+        runs = []
+        for k in range(int(rng.integers(1, RUNS + 1))):
+            y = (i + k) % 2
+            lines = of[y][int(rng.integers(len(of[y])))]
+            size = min(len(lines), int(rng.integers(1, RUN_LINES + 1)))
+            at = int(rng.integers(len(lines) - size + 1))
+            runs.append((lines[at : at + size], y))
+        made.append(runs)
+    most = max(sum(len(r) for r, _ in runs) for runs in made)
+    x, marks, there = np.zeros((most, n, FEATURES)), np.zeros((most, n), np.int64), np.zeros((most, n), bool)
+    for i, runs in enumerate(made):
+        at = 0
+        for lines, y in runs:
+            x[at : at + len(lines), i], marks[at : at + len(lines), i], there[at : at + len(lines), i] = lines, y, True
+            at += len(lines)
+    return x, marks, there
+
+
+def likelihood(theta: np.ndarray, x: np.ndarray, marks: np.ndarray, there: np.ndarray) -> tuple[float, np.ndarray]:
+    """The conditional log-likelihood of the marks for each line, less the penalty, and its gradient, by the forward and backward sums."""
+    weights, moves = theta[:FEATURES], theta[FEATURES:].reshape(2, 2)
+    most, n = there.shape
+    lines = there.sum()
+    gain = np.stack([np.zeros((most, n)), x @ weights], -1)
+    forward, backward = np.zeros((most, n, 2)), np.zeros((most, n, 2))
+    forward[0] = gain[0]
+    for t in range(1, most):
+        moved = forward[t - 1][:, :, None] + moves
+        forward[t] = np.where(there[t][:, None], np.logaddexp(moved[:, 0], moved[:, 1]) + gain[t], forward[t - 1])
+    for t in range(most - 2, -1, -1):
+        moved = (backward[t + 1] + gain[t + 1])[:, None, :] + moves
+        backward[t] = np.where(there[t + 1][:, None], np.logaddexp(moved[:, :, 0], moved[:, :, 1]), 0)
+    total = np.logaddexp(forward[-1, :, 0], forward[-1, :, 1])
+    content = np.where(there, np.exp(forward[..., 1] + backward[..., 1] - total), 0)
+    slope = ((there * (marks - content))[..., None] * x).sum((0, 1))
+    inner = there[1:]
+    pair = forward[:-1][..., :, None] + moves + (gain[1:] + backward[1:])[..., None, :] - total[:, None, None]
+    expected = np.exp(np.where(inner[..., None, None], pair, -np.inf)).sum((0, 1))
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (marks[:-1][inner], marks[1:][inner]), 1)
+    value = (there * marks * gain[..., 1]).sum() + (seen * moves).sum() - total.sum()
+    return value / lines - PENALTY / 2 * theta @ theta, np.append(slope, (seen - expected).ravel()) / lines - PENALTY * theta
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """(key, text, label) of at most ``rows`` labelled documents, those of the least hash; none that crc32 of the id mod 5 holds out."""
     held = F.crc32(F.col(key).cast("string")) % 5 == 0
@@ -164,17 +193,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, key: str = "d
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_DOCS) -> Field:
-    """The field for ``docs``, from a sample of at most ``rows`` documents that ``labels`` marks."""
-    bounded_batches(docs.sparkSession)
+    """The field for ``docs``, from a sample of at most ``rows`` documents that ``labels`` marks.
+
+    Of a sampled document at most ``TRAIN_LINES`` consecutive lines (from a place that its
+    key fixes) reach the driver, so what it gets is bounded whatever the texts' lengths.
+    Null and empty texts have no lines; repeated rows count once; without labels of both
+    kinds, or without documents, every line is content.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [line_features((t or "").encode().split(b"\n"))[0].ravel() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("key").cast(pa.int64()), b.column("label"), pa.array(made, pa.list_(pa.float64()))], ["key", "label", "x"])
+            made = []
+            for key, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
+                lines = line_features((t or "").encode().split(b"\n"))[0]
+                at = zlib.crc32(str(key).encode()) % (len(lines) - TRAIN_LINES + 1) if len(lines) > TRAIN_LINES else 0
+                made.append(lines[at : at + TRAIN_LINES].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("key").cast(pa.string()), b.column("label"), pa.array(made, pa.binary())], ["key", "label", "x"])
 
-    found = labelled_sample(docs, labels, rows).mapInArrow(run, "key bigint, label int, x array<double>").collect()
-    found = sorted((r for r in found if r.x), key=lambda r: r.key)
-    return Field.trained([np.array(r.x).reshape(-1, FEATURES) for r in found], [r.label for r in found])
+    bounded_batches(docs.sparkSession)
+    found = labelled_sample(docs, labels, rows).mapInArrow(run, "key string, label int, x binary").toArrow().to_pylist()
+    found = sorted((r for r in found if r["x"]), key=lambda r: r["key"])
+    return Field.trained([np.frombuffer(r["x"]).reshape(-1, FEATURES) for r in found], [r["label"] for r in found])
 
 
 RESULT = [("n_words", "bigint"), ("word_chars", "bigint"), ("n_symbols", "bigint"), ("n_dup_lines", "bigint"), ("n_repeat_words", "bigint"), ("base_failed", "boolean"), ("content_share", "double"), ("kept", "boolean")]
@@ -195,8 +234,10 @@ def judge(docs: DataFrame, field: Field, keys: list[str], text: str = "text") ->
     """``keys`` plus counts, base_failed, content_share and kept of each row.
 
     A null or empty text has no words, so it fails the base rules. Whole texts of any
-    length; repeated rows give repeated results; an empty table an empty one.
+    length; repeated rows give repeated results; an empty table an empty one. Columns that
+    aren't in ``keys`` are ignored; a key with the name of a result is refused.
     """
+    distinct_names(keys, [n for n, _ in RESULT])
     bounded_batches(docs.sparkSession)
     chosen = docs.select(*keys, F.col(text).alias("__text"))
     head = [f"`{c}` {t}" for c, t in chosen.dtypes[: len(keys)]]
@@ -212,12 +253,17 @@ def judge(docs: DataFrame, field: Field, keys: list[str], text: str = "text") ->
 
 
 def keep(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
+    """The rows of ``docs`` that the rules keep, with all their columns, whatever their names.
+
+    Null and empty texts go; whole texts of any length are judged; repeated rows stay or
+    go together; an empty table gives an empty one.
+    """
     bounded_batches(docs.sparkSession)
     kept = F.pandas_udf(lambda s: s.map(lambda t: judged(t or "", field)[-1]).astype(bool), "boolean")
     return docs.filter(kept(F.col(text)))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document, by a field trained on the labels table; a row for each row, as ``judge`` says."""
     docs = read(spark, sf_dir, "documents")
     return judge(docs, train(docs, read(spark, sf_dir, "labels")), ["doc_id"])

@@ -75,6 +75,72 @@ def test_rules_keep_good_and_drop_bad_held_out(spark):
     assert held[held.quality == 0].kept.mean() <= 0.2
 
 
+def labelled_lines(docs, held):
+    """Lines of labelled documents by label: those held out, or the others."""
+    out = {0: [], 1: []}
+    for r in docs.itertuples():
+        if (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) == held and r.text:
+            lines = [x for x in r.text.split("\n") if len(x.split()) >= 8]
+            if len(lines) > 1:
+                out[r.quality].append(lines)
+    return out
+
+
+def test_spliced_texts_get_both_marks(spark):
+    docs = read(spark, SF, "documents")
+    labels = read(spark, SF, "labels")
+    field = quality_rules.train(docs, labels)
+    lines = labelled_lines(docs.join(labels, "doc_id").toPandas(), held=True)
+    rng = np.random.default_rng(1)
+    right = total = between = 0
+    for _ in range(200):
+        parts = []
+        for y in rng.permutation(2).tolist():
+            own = lines[y][int(rng.integers(len(lines[y])))]
+            # a junk document may begin and end with ordinary lines, so junk is taken from its middle
+            own = [x for x in own if any(c in x for c in "#$%&|!*")] or own[-1:] if y == 0 else own
+            parts += [(x, y) for x in own[: int(rng.integers(1, 7))]]
+        x, sizes, _ = quality_rules.line_features([t.encode() for t, _ in parts])
+        marks = field.viterbi(x)
+        right += int((marks == [y for _, y in parts]).sum())
+        total += len(parts)
+        between += 0 < sizes[marks == 1].sum() < sizes.sum()
+    assert right / total >= 0.9 and between >= 160, (right / total, between)
+
+
+def test_gradient_equals_finite_differences():
+    rng = np.random.default_rng(3)
+    x, marks = rng.normal(size=(5, 4, quality_rules.FEATURES)), rng.integers(0, 2, (5, 4))
+    there = np.arange(5)[:, None] < np.array([5, 1, 3, 4])
+    x, marks = x * there[..., None], marks * there
+    theta = rng.normal(size=quality_rules.FEATURES + 4)
+    slope = quality_rules.likelihood(theta, x, marks, there)[1]
+    for i in range(len(theta)):
+        step = np.zeros(len(theta))
+        step[i] = 1e-5
+        up, down = (quality_rules.likelihood(theta + d, x, marks, there)[0] for d in (step, -step))
+        assert (up - down) / 2e-5 == pytest.approx(slope[i], abs=1e-6)
+
+
+def test_likelihood_equals_enumeration():
+    rng = np.random.default_rng(4)
+    x, marks = rng.normal(size=(4, 1, quality_rules.FEATURES)), rng.integers(0, 2, (4, 1))
+    theta = rng.normal(size=quality_rules.FEATURES + 4)
+    moves = theta[-4:].reshape(2, 2)
+
+    def total(s):
+        return sum(x[t, 0] @ theta[:-4] * k for t, k in enumerate(s)) + sum(moves[a, b] for a, b in itertools.pairwise(s))
+
+    every = np.logaddexp.reduce([total(s) for s in itertools.product((0, 1), repeat=4)])
+    value = quality_rules.likelihood(theta, x, marks, np.ones((4, 1), bool))[0]
+    assert value == pytest.approx((total(marks[:, 0]) - every) / 4 - quality_rules.PENALTY / 2 * theta @ theta)
+
+
+def test_names_that_clash_are_refused(spark, awkward):
+    with pytest.raises(ValueError):
+        quality_rules.judge(awkward.withColumn("N_words", awkward.doc_id), quality_rules.Field.trained([], []), ["N_words"])
+
+
 def test_classifier_held_out(spark):
     found = quality_classifier.op1_quality_classifier(spark, SF)
     assert found.columns == ["doc_id", "held_out", "score", "predicted"]
