@@ -1,5 +1,8 @@
 import gzip
 import json
+import random
+import time
+from html.parser import HTMLParser
 
 from hyperslice.llm import chat_format, url_filters, warc
 
@@ -54,7 +57,27 @@ def test_layouts():
     assert c({"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": None}]}) == [("user", "a"), ("assistant", "")]
     assert c({"turns": [{"author": {"role": "user"}, "content": {"text": "t"}}]}) == [("user", "t")]
     assert c({"messages": []}) == [] and c({"other": 1}) is None
-    assert len(chat_format.MAPPINGS) == len(chat_format.LAYOUTS)
+    assert c({"messages": [{"role": "user"}, {"content": "x"}]}) is None and c({"messages": [1, {"role": "a", "content": "b"}]}) is None
+    assert c({"turns": [{"author.role": "user", "content.text": "t"}]}) is None and c({"messages[]": 1}) is None
+    assert c({"messages": ["a"]}) is None and c({"messages": None}) is None and c([]) is None and c("x") is None and c({}) is None
+    assert c({"id": 7, "prompt": "p", "response": 1.5, "meta": {"a": [1, {"b": 2}]}}) == [("user", "p"), ("assistant", "1.5")]
+    assert c({"messages": [{"role": "user", "content": "a", "name": "n"}, {"role": "assistant", "content": "b"}], "source": "s"}) == [("user", "a"), ("assistant", "b")]
+    assert c({"system": "s", "messages": []}) == [("system", "s")] and c({"prompt": "\ud800", "response": ""}) == [("user", "\ufffd"), ("assistant", "")]
+    deep = {"x": 1}
+    for _ in range(400):
+        deep = {"x": deep}
+    assert c({"prompt": "p", "response": "r", "deep": deep}) == [("user", "p"), ("assistant", "r")]
+
+
+def test_query_meets_every_layout(spark):
+    turns = [(i, k, r, f"t{i}{k}") for i in range(200) for k, r in enumerate((["user", "assistant"], ["system", "user", "assistant"], ["user", "assistant", "user"], ["user", "human"])[i % 4])]
+    records = chat_format.records_of_turns(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    shapes = set()
+    for r in records.collect():
+        own = [(role, text) for i, _, role, text in turns if i == r.conv_id]
+        assert chat_format.canonical(json.loads(r.record)) == own
+        shapes.add(chat_format.schema(json.loads(r.record))[0])
+    assert len(shapes) >= 8
 
 
 def test_formatting_is_reversible():
@@ -68,9 +91,10 @@ def test_formatting_is_reversible():
 
 
 def test_records(spark):
-    rows = [(1, json.dumps({"prompt": "p", "response": "r"})), (2, "not json"), (3, None), (4, json.dumps({"messages": []})), (5, json.dumps({"x": 1}))]
+    rows = [(1, json.dumps({"prompt": "p", "response": "r"})), (2, "not json"), (3, None), (4, json.dumps({"messages": []})), (5, json.dumps({"x": 1})), (6, "[" * 200_000 + "]" * 200_000), (7, "1" * 10_000), (8, '{"prompt": "\\ud800", "response": "r"}')]
     found = {r.conv_id: r for r in chat_format.format_records(spark.createDataFrame(rows, "conv_id long, raw string"), ["conv_id"], "raw").collect()}
     assert found[1].formatted == "<|im_start|>user\np<|im_end|>\n<|im_start|>assistant\nr<|im_end|>\n"
+    assert found[6].layout is None and found[7].formatted is None and "\ufffd" in found[8].formatted
     assert found[2].layout is None and found[3].layout is None and found[4].formatted == "" and found[5].formatted is None and found[5].layout
     turns = spark.createDataFrame([(1, 1, "assistant", None), (1, 0, None, "b"), (1, 0, None, "b"), (None, None, "user", "x")], "conv_id long, turn long, role string, text string")
     back = {r.conv_id: r for r in chat_format.read_back(chat_format.format_records(chat_format.records_of_turns(turns), ["conv_id"]), ["conv_id"]).collect()}
@@ -84,6 +108,104 @@ PAGE = '<html><head><title>A &amp; B</title></head><body><script>var t="</p>";</
 def test_plain_text():
     assert warc.plain_text(PAGE) == "One two\nthree <x>\nlink"
     assert warc.plain_text("") == "" and warc.plain_text("<script>x") == ""
+    assert warc.plain_text("<html><head><title>x</title><body><p>Hello world</p>") == "Hello world"
+    assert warc.plain_text("<head><meta charset=x><title>t</title><div>a</div>") == "a" and warc.plain_text("<head>bare") == "bare"
+    assert warc.plain_text("a<svg><svg/><title>t</title>b</svg> c") == "a c" and warc.plain_text("a <noscript> b") == "a b" and warc.plain_text("a<!-- x -->b") == "ab"
+    assert warc.plain_text('x <b title="a > b">y</b> < z <a') == "x y < z <a" and warc.plain_text("<b title='>y") == "y"
+    assert warc.plain_text("&#" + "1" * 9000 + ";&#" + "0" * 9000 + "65;&#xD800;") == "\ufffdA\ufffd"
+    page = warc.Page("<A title='href=no' HREF=x>l</a><a href=\"/y&amp;z\">m</a><!-- <a href=c> --><title>s</title><a name=q>")
+    assert page.links == ["x", "/y&z"] and page.title == "s"
+
+
+class Reader(HTMLParser):
+    """Visible lines by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.parts, self.hidden, self.titles, self.links = [], [], [], []
+
+    def handle_starttag(self, tag, attrs):
+        self.parts += [None] * (tag in warc.BLOCKS and not self.hidden)
+        if tag in warc.HIDDEN or tag in ("script", "style", "head", "title"):
+            self.hidden.append(tag)
+        self.links += [v for k, v in attrs if k == "href" and tag == "a"]
+
+    def handle_endtag(self, tag):
+        if self.hidden and self.hidden[-1] == tag:
+            self.hidden.pop()
+        self.parts += [None] * (tag in warc.BLOCKS and not self.hidden)
+
+    def handle_data(self, data):
+        if self.hidden and self.hidden[-1] == "title":
+            self.titles.append(data)
+        if not self.hidden:
+            self.parts.append(data)
+
+
+def lines_of(parts):
+    lines = [[]]
+    for p in parts:
+        if p is None:
+            lines.append([])
+        else:
+            lines[-1].append(p)
+    return "\n".join(t for t in (" ".join("".join(x).split()) for x in lines) if t)
+
+
+def test_pages_against_the_standard_parser(spark):
+    rng = random.Random(5)
+    words = ["one", "two &amp; three", "&lt;x&gt;", "é 漢", "a < b", "\n", "  ", "&nbsp;"]
+
+    def made(depth):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            tag = rng.choice(["p", "div", "b", "span", "li", "a", "h1", "noscript", "svg", "script", "style", "!", "br"])
+            if tag == "!":
+                out.append("<!-- <p>no</p> -->")
+            elif tag == "br":
+                out.append("<br/>")
+            elif tag in ("script", "style"):
+                out.append(f" <{tag}>if (a</b) '<p>' </{tag} > ")
+            elif depth < 4:
+                link = f' class="x > y" href="/l{rng.randint(0, 9)}"' if tag == "a" else ""
+                space = " " if tag in ("noscript", "svg") else ""
+                out.append(f"{space}<{tag}{link}>{made(depth + 1)}</{tag.upper()}>{space}")
+            out.append(rng.choice(words))
+        return "".join(out)
+
+    pages = [f"<!DOCTYPE html><html><head><title>T {i}</title><style>p</style></head><body>{made(0)}</body></html>" for i in range(300)]
+    pages += [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect() if r.html]
+    for page in pages:
+        reader, own = Reader(), warc.Page(page)
+        reader.feed(page)
+        reader.close()
+        assert "\n".join(own.lines()) == lines_of(reader.parts), page
+        assert own.links == [" ".join(x.split()) for x in reader.links], page
+        assert (own.title or "") == " ".join("".join(reader.titles[:1]).split()), page
+
+
+def test_hard_pages_take_time_in_proportion():
+    hard = ["<a ", "<title>", "<!--", "<![CDATA[", "<a '>'", "<svg>", "</script", "<noscript>x", "<b \"", "&#1", "<head>", "<script>", "href=", "<a href='", "<p"]
+    began = time.time()
+    for piece in hard:
+        warc.Page(piece * (1_000_000 // len(piece))).lines()
+    assert time.time() - began < 3 * len(hard)
+
+
+def test_broken_records():
+    whole = warc.serialised({"WARC-Type": "x", "Content-Length": "3"}, b"abc")
+    bad = b"WARC/1.1\r\nContent-Length: x\r\n\r\nqq\r\n\r\n"
+    none = b"WARC/1.1\r\nWARC-Type: y\r\n\r\n\r\n\r\n"
+    long = b"WARC/1.1\r\nContent-Length: 999999\r\n\r\nzz\r\n\r\n"
+    found = list(warc.records(whole + bad + none + long + whole + b"WARC/1.1\r\nA: b"))
+    assert [(b, e) for _, b, e in found] == [(b"abc", None), (b"qq", "bad length"), (b"", "bad length"), (b"zz", "cut short"), (b"abc", None), (b"WARC/1.1\r\nA: b", "headers cut short")]
+    member = gzip.compress(whole)
+    broken = member[:12] + b"\xff\xff\xff" + member[15:]
+    found = list(warc.records(member + broken + member))
+    assert [b for _, b, e in found if e is None] == [b"abc", b"abc"] and found[-1][2] == "1 broken gzip members"
+    assert [e for _, _, e in warc.records(member + member[:-9])][-1] == "1 broken gzip members"
+    assert warc.decoded("é".encode("utf-16"), [("Content-Type", "text/html; charset=utf-16")]) == "é"
+    assert warc.decoded("é".encode(), [("content-type", "x; charset=hex")]) == "é" == warc.decoded("é".encode(), [("content-type", "x; charset=undefined")])
 
 
 def test_derivatives(spark):
@@ -110,6 +232,9 @@ def test_files(spark, tmp_path):
     (tmp_path / "packed.warc.gz").write_bytes(b"".join(map(gzip.compress, made)))
     (tmp_path / "cut.warc").write_bytes(made[0] + made[1][:-20])
     found = warc.read_warc(spark, str(tmp_path)).collect()
+    cut = [r for r in found if r.error]
+    assert [(r.file.rsplit("/", 1)[1], r.error) for r in cut] == [("cut.warc", "cut short")]
+    found = [r for r in found if not r.error]
     assert sorted(r.file.rsplit("/", 1)[1] for r in found) == ["cut.warc", *["packed.warc.gz"] * 2, *["plain.warc"] * 2]
     assert {bytes(r.block) for r in found} == {r.block.encode() for r in derived.collect()} and all(r.refers_to for r in found)
     assert list(warc.records(b"")) == [] and warc.http_message(b"body") == ("", [], b"body")
