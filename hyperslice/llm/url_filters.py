@@ -1,10 +1,14 @@
 """URL filters by Bloom filter cascades.
 
-A list's keys and the complete universe of keys that the corpus can ask for are known
+The lists' keys and the complete universe of keys that the corpus can ask for are known
 before filtering. The first Bloom filter of a cascade holds the listed keys; the next
 holds the keys of the universe that pass it wrongly; the next the listed keys that
 pass that one; and so on until none is left. On the universe the answer is exact, and
 a row is judged without a join: its candidate keys are tried against the cascades.
+
+Each level is built for all lists at once. Keys fall to shards by hash, so many that a
+shard's cascades take about ``SHARD_BITS``: rows pass shard after shard, and lists of
+any length are filtered in the same way with bounded broadcasts.
 """
 
 from __future__ import annotations
@@ -29,10 +33,10 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Hosts whose pages, with those of their subdomains, are blocked where no rule fits.
-BLOCKED_HOSTS = ("spam-farm.example.org", "ads-track.example.com")
-#: Bits of a cascade up to which it may be broadcast (8 MB); a longer list is joined instead.
-MAX_BITS = 1 << 26
+#: Marks of tracking in a url. A host is listed where two fifths of its pages, or more, have one.
+TRACKING = "[?&](utm_[a-z]+|ref)="
+#: Bits of a shard's cascades (8 MB), which are broadcast.
+SHARD_BITS = 1 << 26
 
 
 def digest(key: str, level: int) -> tuple[int, int]:
@@ -40,6 +44,11 @@ def digest(key: str, level: int) -> tuple[int, int]:
     return both & 0xFFFFFFFFFFFFFFFF, both >> 64 | 1
 
 
+def shard(key: str, shards: int) -> int:
+    """The shard of a key, by another hash than the levels have."""
+    return xxhash.xxh3_64_intdigest(key, seed=1 << 32) % shards if shards > 1 else 0
+
+
 @dataclass
 class Cascade:
     """Bloom filters of alternate levels: (words of 64 bits, bits, hash functions) of each."""
@@ -69,48 +78,60 @@ def dimensions(n: int, others: int, level: int) -> tuple[int, int]:
     return max(64, math.ceil(n * math.log2(1 / p) / math.log(2))), max(1, round(math.log2(1 / p)))
 
 
-def build(universe: DataFrame, key: str = "key", listed: str = "listed") -> Cascade | None:
-    """The cascade of the rows of ``universe`` (distinct keys) that are ``listed``, or None where it would be too large to broadcast.
+def shards_needed(universe: DataFrame, shard_bits: int = SHARD_BITS) -> int:
+    """Shards for the rows (list, key, listed) of ``universe``: the first levels' bits, and five a key for the later ones, over ``shard_bits``."""
+    counts = universe.groupBy("list").agg(F.count_if("listed").alias("n"), F.count_if(~F.col("listed")).alias("others")).collect()
+    return max(1, math.ceil(sum(dimensions(r.n, r.others, 0)[0] + 5 * r.n for r in counts if r.n) / shard_bits))
+
 
-    Every level is built on the executors: tasks set bits, which are combined by word.
+def build(universe: DataFrame) -> dict[str, Cascade]:
+    """The cascade of each list: of the rows (list, key, listed) of ``universe`` those that are ``listed``. A list without keys has none.
+
+    Keys are distinct within a list. Every level is built on the executors for all lists:
+    tasks set bits, which are combined by word.
     """
-    cascade = Cascade()
-    inside = stored(universe.filter(F.col(listed)).select(key), "listed")
-    outside = stored(universe.filter(~F.col(listed)).select(key), "others")
-    level, held = 0, 0
-    n, others = inside.count(), outside.count()
-    while n:
-        bits, hashes = dimensions(n, others, level)
-        held += bits
-        if held > MAX_BITS:
-            return None
-
-        def fill(batches: Iterator[pa.RecordBatch], level: int = level, bits: int = bits, hashes: int = hashes) -> Iterator[pa.RecordBatch]:
+    cascades: dict[str, Cascade] = {}
+    inside, outside = (universe.filter(c).select("list", "key") for c in (F.col("listed"), ~F.col("listed")))
+    counted = universe.groupBy("list").agg(F.count_if("listed").alias("n"), F.count_if(~F.col("listed")).alias("others")).collect()
+    left = {r["list"]: (r.n, r.others) for r in counted if r.n}
+    level = 0
+    while left:
+        sizes, at = {}, 0
+        for name, (n, others) in sorted(left.items()):
+            bits, hashes = dimensions(n, others, level)
+            sizes[name] = bits, hashes, at
+            at += -(-bits // 64)
+
+        def fill(batches: Iterator[pa.RecordBatch], level: int = level, sizes: dict = sizes) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 words: dict[int, int] = {}
-                for k in b.column(0).to_pylist():
+                for name, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    bits, hashes, first = sizes[name]
                     x, y = digest(k, level)
                     for i in range(hashes):
-                        at = (x + i * y) % bits
-                        words[at >> 6] = words.get(at >> 6, 0) | 1 << (at & 63)
+                        place = (x + i * y) % bits
+                        word = first + (place >> 6)
+                        words[word] = words.get(word, 0) | 1 << (place & 63)
                 values = np.fromiter(words.values(), np.uint64, len(words)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.int64()), pa.array(values)], ["word", "value"])
 
-        found = inside.mapInArrow(fill, "word bigint, value bigint").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
-        words = np.zeros(-(-bits // 64), np.uint64)
-        words[found["word"].to_numpy()] = found["value"].to_numpy().view(np.uint64)
-        cascade.levels.append((words, bits, hashes))
-        shared = universe.sparkSession.sparkContext.broadcast(cascade)
+        names = list(sizes)
+        found = inside.filter(F.col("list").isin(names)).mapInArrow(fill, "word bigint, value bigint").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
+        every = np.zeros(at, np.uint64)
+        every[found["word"].to_numpy()] = found["value"].to_numpy().view(np.uint64)
+        for name, (bits, hashes, first) in sizes.items():
+            cascades.setdefault(name, Cascade()).levels.append((every[first : first - (-bits // 64)], bits, hashes))
+        shared = universe.sparkSession.sparkContext.broadcast(cascades)
 
         def wrong(batches: Iterator[pa.RecordBatch], level: int = level, shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                keys = [k for k in b.column(0).to_pylist() if shared.value.passes(k, level)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string())], ["key"])
+                passed = [(n, k) for n, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if shared.value[n].passes(k, level)]
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in passed], pa.string()), pa.array([k for _, k in passed], pa.string())], ["list", "key"])
 
-        inside, outside = stored(outside.mapInArrow(wrong, "key string"), "passed").withColumnRenamed("key", key), inside
-        n, others = inside.count(), n
+        inside, outside = stored(outside.filter(F.col("list").isin(names)).mapInArrow(wrong, "list string, key string"), "passed"), inside
+        left = {r["list"]: (r["count"], left[r["list"]][0]) for r in inside.groupBy("list").count().collect()}
         level += 1
-    return cascade
+    return cascades
 
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -128,99 +149,126 @@ def host_and_path(url: str | None) -> tuple[str, str]:
     return (rest.translate(LOWER), "") if slash < 0 else (rest[:slash].translate(LOWER), rest[slash:])
 
 
-def suffixes(host: str) -> list[str]:
-    """The host and the domains it belongs to, the longest first."""
-    found = [host]
-    while "." in host:
-        host = host.split(".", 1)[1]
+def suffixes(host: str, longest: int) -> list[str]:
+    """The host and the domains it belongs to of up to ``longest`` characters, the longest first: no longer one can be listed."""
+    found = []
+    at = len(host)
+    while (at := host.rfind(".", 0, at)) >= 0 and len(host) - at - 1 <= longest:
+        found.append(host[at + 1 :])
+    if len(host) <= longest:
         found.append(host)
-    return found
+    return found[::-1]
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[str]:
+def candidates(host: str, path: str, lengths: list[int], longest: int) -> list[str]:
     """Keys that a rule for this url can have, the longest first; of equally long ones that with the longer host."""
-    found = {(h, path[:n]) for h in suffixes(host) for n in lengths if n <= len(path)}
+    found = {(h, path[:n]) for h in suffixes(host, longest) for n in lengths if n <= len(path)}
     return [h + p for h, p in sorted(found, key=lambda x: (-len(x[0]) - len(x[1]), -len(x[0])))]
 
 
-def judge(pages: DataFrame, rules=RULES, blocked_hosts: tuple | DataFrame = BLOCKED_HOSTS, key: str = "page_id", url: str = "url") -> DataFrame:
+def tracking_hosts(pages: DataFrame, url: str = "url") -> DataFrame:
+    """(host) of the hosts two fifths of whose pages, or more, carry a tracking parameter. Urls without a host count for none."""
+    host = F.translate(F.regexp_extract(url, "://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    counted = pages.select(host.alias("host"), F.col(url).rlike(TRACKING).alias("marked")).filter("host <> ''").groupBy("host").agg(F.count("*").alias("n"), F.count_if("marked").alias("marked"))
+    return counted.filter("5 * marked >= 2 * n").select("host")
+
+
+def judge(pages: DataFrame, rules=RULES, blocked_hosts: DataFrame | None = None, key: str = "page_id", url: str = "url", shard_bits: int = SHARD_BITS) -> DataFrame:
     """(key, host, path, rule, verdict) of every row of ``pages``.
 
     The longest fitting rule decides; without one, block where the host or a domain it
-    belongs to is in ``blocked_hosts`` (strings, or a DataFrame with a column ``host``
-    for long lists), else allow. A null url or one without ``://`` has an empty host and path; no
-    rule fits it. Repeated rows give repeated results.
+    belongs to is in ``blocked_hosts`` (a column ``host``; nulls and repeats count for
+    nothing), else allow. A null url or one without ``://`` has an empty host and path; no
+    rule fits it. Urls and lists of any length. Repeated rows give repeated results, an
+    empty table none; other columns are ignored.
     """
     spark = pages.sparkSession
     bounded_batches(spark)
     lengths = sorted({len(p) for _, _, p in rules})
+    longest_rule = max((len(h) for _, h, _ in rules), default=0)
+    if blocked_hosts is None:
+        blocked_hosts = spark.createDataFrame([], "host string")
+    hosts = stored(blocked_hosts.select(F.col("host").alias("key")).filter("key is not null").distinct(), "hosts")
+    longest_host = hosts.agg(F.max(F.char_length("key"))).first()[0] or 0
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = set()
             for u in b.column(0).to_pylist():
                 host, path = host_and_path(u)
-                found.update(("rule", k) for k in candidates(host, path, lengths))
-                found.update(("host", h) for h in suffixes(host))
+                found.update(("rule", k) for k in candidates(host, path, lengths, longest_rule))
+                found.update(("host", h) for h in suffixes(host, longest_host))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([v for _, v in found], pa.string())], ["kind", "key"])
 
-    universe = stored(pages.select(url).mapInArrow(keys, "kind string, key string").distinct(), "universe")
-    cascades = {}
-    for verdict in ("allow", "block"):
-        own = [h + p for v, h, p in rules if v == verdict]
-        cascades[verdict] = build(universe.filter("kind = 'rule'").select("key", F.col("key").isin(own).alias("listed")))
-    hosts = universe.filter("kind = 'host'").select("key")
-    if isinstance(blocked_hosts, DataFrame):
-        listed = blocked_hosts.select(F.col("host").alias("key"), F.lit(True).alias("there")).distinct()
-        cascades["host"] = build(hosts.join(listed, "key", "left").select("key", F.coalesce("there", F.lit(False)).alias("listed")))
-    else:
-        cascades["host"] = build(hosts.select("key", F.col("key").isin(list(blocked_hosts)).alias("listed")))
-    joined = cascades["host"] is None
-    shared = spark.sparkContext.broadcast(cascades)  # each cascade holds MAX_BITS at most
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+    asked = pages.select(url).mapInArrow(keys, "kind string, key string").distinct()
+    own = {verdict: [h + p for v, h, p in rules if v == verdict] for verdict in ("allow", "block")}
+    marked = asked.join(hosts.select(F.lit("host").alias("kind"), "key", F.lit(True).alias("there")), ["kind", "key"], "left")
+    every = F.when(F.col("kind") == "host", F.array(F.struct(F.lit("host").alias("list"), F.coalesce("there", F.lit(False)).alias("listed"))))
+    every = every.otherwise(F.array(*[F.struct(F.lit(v).alias("list"), F.col("key").isin(own[v]).alias("listed")) for v in own]))
+    universe = stored(marked.select("key", F.explode(every).alias("l")).select("l.list", "key", "l.listed"), "universe")
+    shards = shards_needed(universe, shard_bits)
+    named = F.udf(lambda k: shard(k, shards), "int") if shards > 1 else None
+
+    def passed(rows: DataFrame, number: int) -> DataFrame:
+        """``rows`` (key, url, hits) with the hits of one shard added: each a list's name, a space and the key."""
+        part = universe if named is None else universe.filter(named("key") == number)
+        shared = spark.sparkContext.broadcast(build(part))  # about shard_bits
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = shared.value
+            for b in batches:
+                out = []
+                for u, hits in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    host, path = host_and_path(u)
+                    mine = [k for k in candidates(host, path, lengths, longest_rule) if shard(k, shards) == number]
+                    hits += [f"{v} {k}" for k in mine for v in ("allow", "block") if v in own and k in own[v]]
+                    if "host" in own and any(h in own["host"] for h in suffixes(host, longest_host) if shard(h, shards) == number):
+                        hits.append("host")
+                    out.append(hits)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.string()))], ["__key", "__url", "hits"])
+
+        return rows.mapInArrow(run, f"__key {rows.dtypes[0][1]}, __url string, hits array<string>")
+
+    rows = pages.select(F.col(key).alias("__key"), F.col(url).alias("__url"), F.array().cast("array<string>").alias("hits"))
+    for number in range(shards):
+        rows = passed(rows, number)
+        rows = stored(rows, "judged") if number + 1 < shards else rows
+
+    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for u in b.column(1).to_pylist():
+            for u, hits in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 host, path = host_and_path(u)
-                rule, verdict = None, None
-                for k in candidates(host, path, lengths):
-                    verdict = "allow" if k in own["allow"] else "block" if k in own["block"] else None
-                    if verdict:
-                        rule = k
-                        break
-                if verdict is None and not joined:
-                    verdict = "block" if any(h in own["host"] for h in suffixes(host)) else "allow"
+                held = set(hits)
+                best = next(((k, v) for k in candidates(host, path, lengths, longest_rule) for v in ("allow", "block") if f"{v} {k}" in held), None)
+                rule, verdict = best or (None, "block" if "host" in held else "allow")
                 out.append((host, path, rule, verdict))
             columns = [pa.array([r[i] for r in out], pa.string()) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], [key, "host", "path", "rule", "verdict"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["__key", "host", "path", "rule", "verdict"])
 
-    chosen = pages.select(key, url)
-    judged = chosen.mapInArrow(run, f"`{key}` {chosen.dtypes[0][1]}, host string, path string, rule string, verdict string")
-    if not joined:
-        return judged
-    domains = F.transform(F.sequence(F.lit(1), F.size(F.split("host", r"\."))), lambda i: F.call_function("substring_index", F.col("host"), F.lit("."), -i))
-    hit = judged.select("host").distinct().select("host", F.explode(domains).alias("key")).join(listed, "key", "left_semi").select("host", F.lit("block").alias("method")).distinct()
-    return judged.join(hit, "host", "left").select(key, "host", "path", "rule", F.coalesce("verdict", "method", F.lit("allow")).alias("verdict"))
+    made = rows.mapInArrow(decided, f"__key {rows.dtypes[0][1]}, host string, path string, rule string, verdict string")
+    return made.select(F.col("__key").alias(key), "host", "path", "rule", "verdict")
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(read(spark, sf_dir, "pages"))
+    """The verdict on every page's url by ``RULES``, and by the list of tracking hosts where none fits."""
+    pages = read(spark, sf_dir, "pages")
+    return judge(pages, blocked_hosts=tracking_hosts(pages))
 
 
 ORACLE = f"""
 WITH p AS (
-  SELECT row_number() OVER () AS r, page_id,
+  SELECT row_number() OVER () AS r, page_id, url,
     translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages),
 rules(v, h, q) AS (VALUES {", ".join(f"('{v}', '{h}', '{q}')" for v, h, q in RULES)}),
-blocked(h) AS (VALUES {", ".join(f"('{h}')" for h in BLOCKED_HOSTS)}),
+blocked AS (
+  SELECT host AS h FROM p WHERE host <> '' GROUP BY host HAVING 5 * count(*) FILTER (regexp_matches(url, '{TRACKING}')) >= 2 * count(*)),
 fits AS (
   SELECT r, h || q AS rule, v, row_number() OVER (PARTITION BY r ORDER BY length(h || q) DESC, length(h) DESC) AS n
   FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q))
 SELECT page_id, host, path, rule,
-  coalesce(v, CASE WHEN EXISTS (SELECT 1 FROM blocked WHERE host = h OR ends_with(host, '.' || h)) THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(v, CASE WHEN (SELECT bool_or(p.host = h OR ends_with(p.host, '.' || h)) FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN (SELECT * FROM fits WHERE n = 1) USING (r)
 """

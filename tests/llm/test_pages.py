@@ -9,44 +9,49 @@ from hyperslice.llm import chat_format, url_filters, warc
 URLS = [None, "", "no scheme", "https://WWW.Example.com/en/x?y#z", "http://a.example.com/en/", "http://example.com?x=/en/", "ftp://x.net/es/1", "http://net/fr/", "http://spam-farm.example.org/", "https://m.spam-farm.example.org", "http://notspam-farm.example.org/", "http://com", "a://b://c/d"]
 
 
+BLOCKED = ("spam-farm.example.org", "ads-track.example.com", "x.net")
+
+
 def verdict(url):
     host, path = url_filters.host_and_path(url)
     fits = [(len(h + p), h + p, v) for v, h, p in url_filters.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     if fits:
         return host, path, max(fits)[1], max(fits)[2]
-    return host, path, None, "block" if any(host == b or host.endswith("." + b) for b in url_filters.BLOCKED_HOSTS) else "allow"
+    return host, path, None, "block" if any(host == b or host.endswith("." + b) for b in BLOCKED) else "allow"
 
 
 def pages(spark):
     return spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(URLS)] + [(3, URLS[3], "x", "y")], "page_id long, url string, host string, key string")
 
 
+def listed(spark):
+    return spark.createDataFrame([(h,) for h in (*BLOCKED, *BLOCKED, None)], "host string")
+
+
 def test_urls_against_brute_force(spark):
-    found = url_filters.judge(pages(spark)).collect()
-    assert len(found) == len(URLS) + 1
-    assert all((r.host, r.path, r.rule, r.verdict) == verdict(URLS[r.page_id]) for r in found)
-    assert url_filters.judge(pages(spark).filter("false")).count() == 0
+    for bits in (url_filters.SHARD_BITS, 64):  # one shard, and several
+        found = url_filters.judge(pages(spark), blocked_hosts=listed(spark), shard_bits=bits).collect()
+        assert len(found) == len(URLS) + 1
+        assert all((r.host, r.path, r.rule, r.verdict) == verdict(URLS[r.page_id]) for r in found)
+    assert url_filters.judge(pages(spark).filter("false"), blocked_hosts=listed(spark)).count() == 0
+    assert {r.verdict for r in url_filters.judge(pages(spark), rules=()).collect()} == {"allow"}
     assert url_filters.host_and_path("http://A.b?x/y") == ("a.b", "") and url_filters.host_and_path("http://É.b/É") == ("É.b", "/É")
 
 
-def test_long_lists_are_joined(spark):
-    listed = spark.createDataFrame([(h,) for h in url_filters.BLOCKED_HOSTS], "host string")
-    bits, url_filters.MAX_BITS = url_filters.MAX_BITS, -1
-    try:
-        found = url_filters.judge(pages(spark), rules=(), blocked_hosts=listed).collect()
-    finally:
-        url_filters.MAX_BITS = bits
-    blocked = {r.page_id for r in found if r.verdict == "block"}
-    assert blocked == {i for i, u in enumerate(URLS) if any(url_filters.host_and_path(u)[0] == b or url_filters.host_and_path(u)[0].endswith("." + b) for b in url_filters.BLOCKED_HOSTS)}
-    again = url_filters.judge(pages(spark), rules=(), blocked_hosts=listed).collect()
-    assert {r.page_id for r in again if r.verdict == "block"} == blocked
-
-
-def test_cascade_is_exact_on_its_universe(spark):
-    universe = spark.range(4000).selectExpr("concat('key', id) AS key", "id % 5 = 0 AS listed")
-    cascade = url_filters.build(universe)
-    assert len(cascade.levels) > 2
-    assert all((f"key{i}" in cascade) == (i % 5 == 0) for i in range(4000))
+def test_long_urls_take_time_in_proportion(spark):
+    urls = ["http://" + "a." * 500_000 + "net/es/", "http://" + "." * 1_000_000, "http://x.net/" + "/" * 1_000_000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    began = time.time()
+    found = {r.page_id: (r.rule, r.verdict) for r in url_filters.judge(df, blocked_hosts=listed(spark)).collect()}
+    assert found == {0: ("net/es/", "block"), 1: (None, "allow"), 2: (None, "block")} and time.time() - began < 60
+
+
+def test_cascades_are_exact_on_their_universe(spark):
+    universe = spark.range(4000).selectExpr("if(id % 2 = 0, 'a', 'b') AS list", "concat('key', id) AS key", "id % 5 = 0 AS listed")
+    cascades = url_filters.build(universe)
+    assert len(cascades["a"].levels) > 2 and url_filters.shards_needed(universe, 1000) > 2
+    assert all((f"key{i}" in cascades["ab"[i % 2]]) == (i % 5 == 0) for i in range(4000))
+    assert url_filters.build(universe.filter("not listed")) == {}
 
 
 def test_layouts():
