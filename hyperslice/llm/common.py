@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch. Texts may be very long, so batches stay short.
 ARROW_ROWS = 256
@@ -68,3 +69,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+#: A key of over one in so many rows is hot; there are at most so many hot keys.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, on: str, total: int) -> DataFrame:
+    """``rows`` joined with ``table``: one row for each key ``on``, and ``n``, how many of the ``total`` rows have it.
+
+    Hot keys (at most ``HOT`` of them, so they can be broadcast) are joined where their rows
+    are; only the other keys are shuffled, so no task gets over one in ``HOT`` of the rows
+    by one key. ``table`` should be stored: it is read three times.
+    """
+    hot = F.col("n") * HOT > total
+    few = F.broadcast(table.filter(hot).drop("n"))
+    cold = rows.join(F.broadcast(table.filter(hot).select(on)), on, "left_anti")
+    return rows.join(few, on).unionByName(cold.join(table.filter(~hot).drop("n"), on))

@@ -67,16 +67,48 @@ def test_buckets_over_many_batches():
 
     fps = ball(900, 4, 6)
     keys = np.zeros(len(fps), np.int64)
-    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 50]), pa.array(fps[i : i + 50].view(np.int64))], ["key", "fp"]) for i in range(0, len(fps), 50)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 50]), *[pa.array(fps[i : i + 50].view(np.int64))] * 3], ["key", "fp", "p0", "p1"]) for i in range(0, len(fps), 50)]
     gather, simhash_dedup.GATHER = simhash_dedup.GATHER, 100
     try:
         out = list(simhash_dedup._links(iter(batches), 60))
     finally:
         simhash_dedup.GATHER = gather
-    again = [r for b in out for r in b.to_pylist() if r["again"]]
+    again = [r for b in out for r in b.to_pylist() if r["kind"] == simhash_dedup.AGAIN]
     assert len(again) == len(simhash_dedup.FINER) * len(fps) and {r["b"] for r in again} == set(fps.view(np.int64).tolist())
 
 
+def test_pivot_table(spark):
+    from pyspark.sql import functions as F
+
+    fps = np.unique(np.concatenate([np.random.default_rng(1).integers(0, 1 << 63, 2000).astype(np.uint64), ball(200, 2, 8)]))
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    rows = df.select("fp", *simhash_dedup.pivot_row(F.col("fp"))).collect()
+    for r in rows[::50]:
+        own = [bin((r.fp ^ p) & (1 << 64) - 1).count("1") for p in simhash_dedup.PIVOTS]
+        assert np.array([r.p0, r.p1], "<i8").view(np.int8).tolist() == own
+    tally = simhash_dedup.compared(df).filter(f"kind = {simhash_dedup.TALLY}").agg(F.sum("a").alias("pairs"), F.sum("b").alias("kept")).first()
+    near = sum(int((np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 3).sum()) for i in range(len(fps)))
+    assert near <= tally.kept < tally.pairs
+
+
+def test_hubs_and_hot_fingerprints(spark):
+    edges = spark.range(5000).selectExpr("7 AS a", "id + 10 AS b").unionByName(spark.range(5000).selectExpr("id + 10 AS a", "99999 AS b"))
+    root = {r.node: r.root for r in simhash_dedup.components(edges).collect()}
+    assert root == {i: 7 for i in [*range(10, 5010), 99999]}
+    docs = spark.range(3000).selectExpr("id AS doc_id", "if(id % 3 > 0, 'the same text over and over', concat('text ', id, ' of its own ', id * 7)) AS text")
+    found = {r.doc_id: r for r in simhash_dedup.near_duplicates(docs).collect()}
+    assert len(found) == 3000 and found[2].fp == found[1].fp and {found[i].component for i in range(3000) if i % 3} == {1}
+    kept = {r.doc_id for r in simhash_dedup.one_of_each(docs).collect()}
+    assert kept == {r.component for r in found.values()}
+
+
+def test_repeated_and_unlike_rows(spark):
+    rows = [(1, "a b c", "x"), (1, "a b c", "x"), (1, "a b c", "y"), (None, "p q r", "x"), (None, "p q r", "x"), (2, "", "x"), (2, "other words here", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, same string").withColumnRenamed("same", "__same")
+    kept = [tuple(r) for r in simhash_dedup.one_of_each(docs).collect()]
+    assert len(kept) == 4 and {r[:2] for r in kept} == {(1, "a b c"), (None, "p q r"), (2, ""), (2, "other words here")}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     root = {r.node: r.root for r in simhash_dedup.components(edges).collect()}
