@@ -75,8 +75,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 HOT = 1000
 
 
-def join_hot(rows: DataFrame, table: DataFrame, on: str, total: int) -> DataFrame:
-    """``rows`` joined with ``table``: one row for each key ``on``, and ``n``, how many of the ``total`` rows have it.
+def join_hot(rows: DataFrame, table: DataFrame, on: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) with ``table``: one row for each key ``on``, and ``n``, how many of the ``total`` rows have it.
 
     Hot keys (at most ``HOT`` of them, so they can be broadcast) are joined where their rows
     are; only the other keys are shuffled, so no task gets over one in ``HOT`` of the rows
@@ -85,4 +85,4 @@ def join_hot(rows: DataFrame, table: DataFrame, on: str, total: int) -> DataFram
     hot = F.col("n") * HOT > total
     few = F.broadcast(table.filter(hot).drop("n"))
     cold = rows.join(F.broadcast(table.filter(hot).select(on)), on, "left_anti")
-    return rows.join(few, on).unionByName(cold.join(table.filter(~hot).drop("n"), on))
+    return rows.join(few, on).unionByName(cold.join(table.filter(~hot).drop("n"), on, how))

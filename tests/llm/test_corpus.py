@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -187,6 +188,52 @@ def test_proximity(spark):
     assert found == {(1, 0, 5), (3, 0, 2)}
 
 
+def near_items(docs, items, terms=3, span=30):
+    """doc -> how many items have their rarest distinct terms within ``span`` words of it."""
+    corpus = [(i, words(t)) for i, t in docs]
+    n = Counter(w for _, ws in corpus for w in ws)
+    out = dict.fromkeys([i for i, _ in docs], 0)
+    for _, t in items:
+        rare = sorted(set(words(t)), key=lambda w: (n[w], w))[:terms]
+        if rare and all(n[w] for w in rare):
+            for i, ws in corpus:
+                out[i] += any(ws[p] in rare and set(rare) <= set(ws[p : p + span]) for p in range(len(ws)))
+    return out
+
+
+def test_near_items_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    vocabulary = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(rng.choice(vocabulary, rng.integers(0, 120)))) for i in range(50)]
+    items = [(i, " ".join(rng.choice([*vocabulary, "absent"], rng.integers(1, 14)))) for i in range(30)] + [(98, ""), (99, None)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    expected = near_items(docs, items)
+    for most in (200_000, -1):
+        rows, decontamination.BROADCAST_ROWS = decontamination.BROADCAST_ROWS, most
+        try:
+            found = {r.doc_id: (r.n_near, r.n_hit) for r in decontamination.phrase_matches(df, bench, near=True).collect()}
+        finally:
+            decontamination.BROADCAST_ROWS = rows
+        assert found == {i: (expected[i], hits(t, items)[1]) for i, t in docs} and len(set(expected.values())) > 2
+
+
+def test_long_items_and_copies(spark):
+    """An item of many windows against copies of a text that holds most of them, with both kinds of joins."""
+    rng = np.random.default_rng(6)
+    item = " ".join(f"w{i}" for i in rng.integers(0, 400, 3000))
+    text = " ".join(item.split()[100:2900])
+    docs = [(i, text if i % 3 else f"own w{i} words") for i in range(60)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    for most in (200_000, -1):
+        rows, decontamination.BROADCAST_ROWS = decontamination.BROADCAST_ROWS, most
+        try:
+            found = {r.doc_id: r.n_hit for r in decontamination.phrase_matches(df, bench).collect()}
+            kept = {r.doc_id for r in decontamination.clean(df, bench).collect()}
+        finally:
+            decontamination.BROADCAST_ROWS = rows
+        assert found == {i: 2800 if i % 3 else 0 for i, _ in docs} and kept == {i for i, _ in docs if i % 3 == 0}
+
+
 def test_rows_with_no_key_or_one_key_are_not_mixed(spark):
     rng = np.random.default_rng(5)
     letters = list("abcdefghijklmnopqrstuvwxyz")
