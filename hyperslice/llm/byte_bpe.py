@@ -5,8 +5,9 @@ opens a contraction). Each class is a function on the states of a small automato
 composing such functions is associative, so the state before every character of a
 whole batch comes from a blocked prefix scan over composition-table look-ups. No
 regular expression runs. The slices between boundaries feed pair merging by rank,
-whose results are cached; the offsets of slices and documents in the batch are
-kept, and decoding cuts its output by them.
+whose results are cached. The byte offsets of slices and the end of every text are
+kept: decoding gathers the bytes of a whole batch of ids from the vocabulary at once and
+cuts them by the retained ends.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, read
+from .common import bounded_batches, distinct_names, read
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Slices of up to so many bytes are cached, and so many of them.
@@ -153,8 +154,12 @@ class Codec:
         path = vocabulary if os.sep in vocabulary else public_tokenizers.path(vocabulary)
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
         ranks = self.ranks
+        tokens = {rank: token for token, rank in ranks.items()}
+        every = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        self.sizes = np.array([len(t) for t in every], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.vocabulary = np.frombuffer(b"".join(every), np.uint8)
         self.pairs = {ranks[t[:i]] << 32 | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
         self.pair_keys = np.array(sorted(self.pairs), np.int64)
         self.pair_values = np.array([self.pairs[k] for k in self.pair_keys.tolist()], np.int32)
@@ -262,14 +267,14 @@ class Codec:
         return [i for i in ids if i >= 0]
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[np.ndarray]]:
-        """For each text its ids (little-endian, 4 bytes each), and the byte offsets in it where slices begin."""
+        """For each text its ids (little-endian, 4 bytes each), and the byte offsets in it where slices begin, then that of its end."""
         if not texts:
             return [], []
         joined = "\n".join(texts)
         sizes = np.array([len(t) for t in texts])
         ends = np.cumsum(sizes + 1) - 1  # of each text, where its separator stands
         if not joined:
-            return [b""], [np.zeros(0, np.int64)]
+            return [b""], [np.zeros(1, np.int64)]
         points, starts = boundaries(joined, ends[:-1])
         raw = joined.encode()
         at = np.zeros(len(points) + 1, np.int64)
@@ -289,11 +294,32 @@ class Codec:
             packed[i] = made[pieces[i]]
         first = np.searchsorted(starts, np.append(0, ends[:-1] + 1)).tolist()
         last = np.searchsorted(starts, ends).tolist()
-        begin = at[np.append(0, ends[:-1] + 1)]
-        return [b"".join(packed[a:b]) for a, b in zip(first, last, strict=True)], [at[starts[a:b]] - s for a, b, s in zip(first, last, begin, strict=True)]
+        begin, end = at[np.append(0, ends[:-1] + 1)], at[ends]
+        offsets = [np.append(at[starts[a:b]], z) - s for a, b, s, z in zip(first, last, begin, end, strict=True)]
+        return [b"".join(packed[a:b]) for a, b in zip(first, last, strict=True)], offsets
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: list[bytes], ends: list[int | None]) -> list[bytes]:
+        """The bytes of each text from its ids and the retained offset of its end; ValueError where they don't fit one another.
+
+        The bytes of all texts are gathered from the vocabulary at once. Without an end
+        (None) the lengths of the ids' tokens give it.
+        """
+        every = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
+        if len(every) and (every.max() >= len(self.sizes) or not self.sizes[every].all()):
+            raise ValueError("an id isn't in the vocabulary")
+        sizes = self.sizes[every]
+        after = np.cumsum(sizes)
+        total = int(after[-1]) if len(after) else 0
+        buffer = self.vocabulary[np.repeat(self.begins[every] - after + sizes, sizes) + np.arange(total)].tobytes()
+        place = np.append(0, after)[np.cumsum([0, *(len(i) // 4 for i in ids)])].tolist()
+        out, at = [], 0
+        for end, (here, there) in zip(ends, pairwise(place), strict=True):
+            size = there - here if end is None else end
+            if size != there - here:
+                raise ValueError("a text's ids don't end where its offsets say")
+            out.append(buffer[at : at + size])
+            at += size
+        return out
 
 
 _codecs: dict[str, Codec] = {}
@@ -305,9 +331,10 @@ def codec(vocabulary: str) -> Codec:
     return _codecs[vocabulary]
 
 
-def _mapped(docs: DataFrame, keys: list[str], text: str, fields: list[tuple[str, str, pa.DataType]], work) -> DataFrame:
+def _mapped(docs: DataFrame, keys: list[str], source: Column, fields: list[tuple[str, str, pa.DataType]], work) -> DataFrame:
+    distinct_names(keys, [n for n, _, _ in fields])
     bounded_batches(docs.sparkSession)
-    chosen = docs.select(*keys, F.col(text).alias("__text"))
+    chosen = docs.select(*keys, source.alias("__text"))
     head = [f"`{c}` {t}" for c, t in chosen.dtypes[: len(keys)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,39 +347,54 @@ def _mapped(docs: DataFrame, keys: list[str], text: str, fields: list[tuple[str,
 
 
 def encode(docs: DataFrame, keys: list[str], text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """``keys`` plus ``ids`` (ARRAY<BIGINT>) and ``offsets`` (byte offsets of slices) of each text.
+    """``keys`` plus ``ids`` (ARRAY<BIGINT>) and ``offsets`` (byte offsets of slices, then of the end) of each text.
 
-    A null text counts as empty: no ids. Whole texts of any length; repeated rows
-    give repeated results; columns not in ``keys`` are ignored.
+    A null text counts as empty: no ids, and the offset 0. Whole texts of any length;
+    repeated rows give repeated results, an empty table none; columns not in ``keys`` are
+    ignored; a key with the name of a result is refused.
     """
 
     def work(texts: list) -> list:
         ids, offsets = codec(vocabulary).encode([t or "" for t in texts])
         return [[np.frombuffer(i, "<u4").astype("int64") for i in ids], offsets]
 
-    return _mapped(docs, keys, text, [("ids", "array<bigint>", pa.list_(pa.int64())), ("offsets", "array<bigint>", pa.list_(pa.int64()))], work)
+    return _mapped(docs, keys, F.col(text), [("ids", "array<bigint>", pa.list_(pa.int64())), ("offsets", "array<bigint>", pa.list_(pa.int64()))], work)
 
 
-def decode(encoded: DataFrame, keys: list[str], ids: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
-    """``keys`` plus ``decoded`` (BINARY), the bytes that the ids stand for; null ids give no bytes."""
+def decode(encoded: DataFrame, keys: list[str], ids: str = "ids", offsets: str | None = "offsets", vocabulary: str = VOCABULARY) -> DataFrame:
+    """``keys`` plus ``decoded`` (BINARY), the bytes that the ids stand for, a batch at a time, cut by the retained ``offsets``.
+
+    Null ids give no bytes; null offsets, or ``offsets`` None, leave the cuts to the ids'
+    tokens. Ids that aren't in the vocabulary, or don't end where the offsets say, fail
+    the job: they come from another text or vocabulary. Repeated rows give repeated
+    results, an empty table none; a key named ``decoded`` is refused.
+    """
+    end = F.lit(None).cast("bigint") if offsets is None else F.get(F.col(offsets), F.size(offsets) - 1).cast("bigint")
 
     def work(rows: list) -> list:
-        return [[codec(vocabulary).decode(np.array(r or [], "<u4").tobytes()) for r in rows]]
+        some = [r["ids"] is not None for r in rows]
+        packed = [np.array(r["ids"] or [], "<u4").tobytes() for r in rows]
+        return [codec(vocabulary).decode(packed, [r["end"] if s else 0 for r, s in zip(rows, some, strict=True)])]
 
-    return _mapped(encoded, keys, ids, [("decoded", "binary", pa.binary())], work)
+    return _mapped(encoded, keys, F.struct(F.col(ids).alias("ids"), end.alias("end")), [("decoded", "binary", pa.binary())], work)
 
 
 def round_trip(docs: DataFrame, keys: list[str], text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """``keys`` plus n_tokens and the digests of the ids and of the bytes they decode to, in one pass."""
+    """``keys`` plus n_tokens and the digests of the ids and of the bytes they decode to, in one pass.
+
+    Nulls, repeated rows, empty tables and names are as in ``encode``.
+    """
 
     def work(texts: list) -> list:
         c = codec(vocabulary)
-        ids, _ = c.encode([t or "" for t in texts])
+        ids, offsets = c.encode([t or "" for t in texts])
         sha = [hashlib.sha256(i).hexdigest() for i in ids]
-        return [[len(i) // 4 for i in ids], sha, [hashlib.sha256(c.decode(i)).hexdigest() for i in ids]]
+        decoded = c.decode(ids, [int(o[-1]) for o in offsets])
+        return [[len(i) // 4 for i in ids], sha, [hashlib.sha256(d).hexdigest() for d in decoded]]
 
-    return _mapped(docs, keys, text, [("n_tokens", "bigint", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())], work)
+    return _mapped(docs, keys, F.col(text), [("n_tokens", "bigint", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())], work)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of every document's ids, and the digest of the bytes they decode to."""
     return round_trip(read(spark, sf_dir, "documents"), ["doc_id"])

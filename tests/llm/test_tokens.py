@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -30,15 +31,21 @@ def test_encoding_equals_the_library():
     ids, offsets = codec.encode(texts)
     for t, i, o in zip(texts, ids, offsets, strict=True):
         assert np.frombuffer(i, "<u4").tolist() == library.encode_ordinary(t)
-        assert codec.decode(i) == t.encode()
-        assert not len(o) or (o[0] == 0 and (np.diff(o) > 0).all() and o[-1] < len(t.encode()))
+        assert o[0] == 0 and (np.diff(o) > 0).all() and o[-1] == len(t.encode())
+    assert codec.decode(ids, [int(o[-1]) for o in offsets]) == codec.decode(ids, [None] * len(ids)) == [t.encode() for t in texts]
+    for wrong in ([1], [50_000_000]):
+        with pytest.raises(ValueError):
+            codec.decode([np.array(wrong, "<u4").tobytes()], [7])
 
 
 def test_every_character_class_equals_the_library():
-    texts = [f"a{c}a 1{c}1 {c} .{c}." for c in map(chr, range(0x3100)) if not c.isspace() or c in " \n\t\u00a0\u2003"]
-    ids, _ = byte_bpe.Codec().encode(texts)
-    library = reference()
-    assert all(np.frombuffer(i, "<u4").tolist() == library.encode_ordinary(t) for t, i in zip(texts, ids, strict=True))
+    """All code points, white space too, each between letters, numbers, blanks and marks."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}a 1{c}1 {c} .{c}.{c}" for c in points[i : i + 256]) for i in range(0, len(points), 256)]
+    codec, library = byte_bpe.Codec(), reference()
+    for i in range(0, len(texts), 64):
+        ids, _ = codec.encode(texts[i : i + 64])
+        assert all(np.frombuffer(x, "<u4").tolist() == library.encode_ordinary(t) for t, x in zip(texts[i : i + 64], ids, strict=True))
 
 
 def test_round_trip_of_awkward_rows(spark, awkward, nothing):
@@ -55,6 +62,12 @@ def test_encode_and_decode_operators(spark, awkward):
     encoded = byte_bpe.encode(awkward, ["doc_id"])
     texts = sorted((r.text or "").encode() for r in awkward.collect())
     assert sorted(bytes(r.decoded) for r in byte_bpe.decode(encoded, ["doc_id"]).collect()) == texts
+    assert sorted(bytes(r.decoded) for r in byte_bpe.decode(encoded, ["doc_id"], offsets=None).collect()) == texts
+    bare = encoded.selectExpr("doc_id", "cast(null AS array<bigint>) AS ids", "offsets")
+    assert {bytes(r.decoded) for r in byte_bpe.decode(bare, ["doc_id"]).collect()} == {b""}
+    for call in (byte_bpe.encode, byte_bpe.round_trip, token_counts.count_tokens):
+        with pytest.raises(ValueError):
+            call(awkward.selectExpr("text", "doc_id AS IDS", "doc_id AS n_tokens"), ["IDS", "n_tokens"])
 
 
 def test_counts_equal_the_library(spark, awkward, nothing):
@@ -73,3 +86,4 @@ def test_batches_hold_all_texts_in_order():
     texts = ["a" * n for n in (5, 90, 3, 3, 200, 1)]
     parts = list(token_counts.by_bytes(texts, 100))
     assert sum(parts, []) == texts and all(sum(map(len, p)) <= 100 or len(p) == 1 for p in parts)
+    assert list(token_counts.by_bytes(["漢" * 20, "漢" * 20, "a" * 40], 100)) == [["漢" * 20], ["漢" * 20, "a" * 40]]
