@@ -4,7 +4,8 @@ Every text is split where a token can never cross: before white space that follo
 another character, and after a lone line feed before another character. In byte-level
 BPE vocabularies with the usual pre-tokenisation white space is either the first
 character of a token or part of a run of it, so the pieces' lengths add up to the
-text's length, and a special string (which holds neither) stays in one piece.
+text's length, and a special string (which holds neither) stays in one piece. A piece
+without white space has no safe boundary inside: however long, it is never split.
 Texts are gathered to batches of about ``batch_bytes``; the library encodes each
 distinct piece that the worker doesn't know yet once, and only lengths are kept.
 """
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, read
+from .common import bounded_batches, distinct_names, read
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
@@ -101,10 +102,10 @@ class Counter:
 
 
 def by_bytes(texts: Iterable[str], limit: int) -> Iterator[list[str]]:
-    """The texts in order, in batches of at most ``limit`` bytes or a single text."""
+    """The texts in order, in batches of at most ``limit`` bytes (in UTF-8) or a single text."""
     batch, held = [], 0
     for t in texts:
-        n = len(t)
+        n = len(t) if t.isascii() else len(t.encode())
         if batch and held + n > limit:
             yield batch
             batch, held = [], 0
@@ -122,8 +123,10 @@ def count_tokens(docs: DataFrame, keys: list[str], text: str = "text", vocabular
 
     A null text counts as empty (0 bytes, 0 tokens). Texts are never cut short; a
     text of any length is counted whole. Repeated rows give repeated results, an
-    empty table an empty one; columns not in ``keys`` are ignored.
+    empty table an empty one; columns not in ``keys`` are ignored; a key with the name
+    of a result is refused.
     """
+    distinct_names(keys, ["n_bytes", "n_tokens"])
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,5 +145,6 @@ def count_tokens(docs: DataFrame, keys: list[str], text: str = "text", vocabular
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether it has over ``LIMIT`` tokens; null texts have none."""
     docs = read(spark, sf_dir, "documents")
     return count_tokens(docs, ["doc_id"]).withColumn("over_limit", F.col("n_tokens") > LIMIT)
