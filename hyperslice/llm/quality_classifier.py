@@ -1,6 +1,6 @@
 """Quality classifier: a support-vector machine on n-gram indicators scaled by naive Bayes log-count ratios.
 
-Indicators are n-grams (up to three) of word shapes, words, and repetition marks. A
+Indicators are n-grams (one to three) of words and of word shapes, and marks of repeated lines. A
 class's log-count ratio scales each indicator, and a linear hinge-loss model is fitted
 to the scaled indicators by dual coordinate descent. Margins become scores by a
 logistic curve that is fitted to labelled documents which the model hasn't seen.
@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, read
+from .common import bounded_batches, distinct_names, read, stored
 from .quality_rules import labelled_sample
 
-#: Labelled documents that the model is fitted on, the least by hash of their id.
+#: Labelled documents that the model is fitted on, the least by hash of their id, and the most bytes of their texts
+#: (a text that the rest of the bytes can't hold is left out). A byte gives under 3 indicators of 4 bytes.
 TRAIN_DOCS = 8000
+TRAIN_BYTES = 64 << 20
 #: Indicators that fewer training documents have are left out.
 MIN_DOCS = 5
 SMOOTHING = 1.0
@@ -31,7 +33,12 @@ THRESHOLD = 0.3
 CALIBRATION_SHARE = 4  # one training document in so many is kept for the logistic curve
 WORDS_KNOWN = 200_000
 
-_shapes: dict[bytes, bytes] = {}
+#: Odd factors of the hashes of n-grams, and a mark of each kind.
+FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
+KINDS = {(kind, n): np.uint32(zlib.crc32(b"%s %d" % (kind, n))) for kind in (b"shape", b"word") for n in (1, 2, 3)}
+AGAIN = zlib.crc32(b"the word before again")
+
+_codes: dict[bytes, int] = {}
 
 
 def shape(word: bytes) -> bytes:
@@ -51,33 +58,40 @@ def shape(word: bytes) -> bytes:
     return f"{case}{min(3, len(core) // 5)}{tail}".encode()
 
 
+def grams(codes: np.ndarray, kind: bytes) -> list[np.ndarray]:
+    """Hashes of the 1-, 2- and 3-grams of a sequence of codes of 32 bits."""
+    out = []
+    for n in (1, 2, 3):
+        if len(codes) >= n:
+            total = np.full(len(codes) - n + 1, KINDS[kind, n], np.uint32)
+            for i in range(n):
+                part = codes[i : len(codes) - n + 1 + i] * FACTORS[i]
+                total = (total ^ part ^ (part >> np.uint32(15))) * FACTORS[(i + n) % 3]
+            out.append(total)
+    return out
+
+
 def indicators(text: str) -> np.ndarray:
-    """The distinct n-grams of a text, as sorted hashes of 32 bits. An empty text has none."""
+    """The distinct n-grams of a text, as sorted hashes of 32 bits. An empty text has none.
+
+    A word that repeats the one before has a shape of its own.
+    """
     raw = text.encode()
     words = raw.split()
-    if len(_shapes) > WORDS_KNOWN:
-        _shapes.clear()
-    shapes = []
-    before = None
-    for w in words:
-        if w == before:
-            shapes.append(b"=")
-            continue
-        before = w
-        s = _shapes.get(w)
-        if s is None:
-            s = _shapes[w] = shape(w)
-        shapes.append(s)
-    found: set = set(shapes)
-    found.update(zip(shapes, shapes[1:], strict=False))
-    found.update(zip(shapes, shapes[1:], shapes[2:], strict=False))
-    hashes = {zlib.crc32(b"s " + (b" ".join(g) if isinstance(g, tuple) else g)) for g in found}
-    hashes.update(zlib.crc32(b"w " + w.lower()) for w in set(words))
+    if not words:
+        return np.zeros(0, np.uint32)
+    if len(_codes) > WORDS_KNOWN:
+        _codes.clear()
+    for w in set(words).difference(_codes):
+        _codes[w] = zlib.crc32(shape(w)) << 32 | zlib.crc32(w.lower())
+    codes = np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
+    shapes = (codes >> np.uint64(32)).astype(np.uint32)
+    shapes[1:][codes[1:] == codes[:-1]] = AGAIN
+    found = grams(shapes, b"shape") + grams(codes.astype(np.uint32), b"word")
     lines = [x for x in raw.split(b"\n") if x.strip()]
     if len(set(lines)) < len(lines):
-        hashes.add(zlib.crc32(b"line again"))
-        hashes.add(zlib.crc32(b"lines again %d" % min(9, 10 * len(set(lines)) // len(lines))))
-    return np.sort(np.fromiter(hashes, np.int64, len(hashes)))
+        found.append(np.array([zlib.crc32(b"line again"), zlib.crc32(b"lines again %d" % min(9, 10 * len(set(lines)) // len(lines)))], np.uint32))
+    return np.unique(np.concatenate(found))
 
 
 @dataclass
@@ -151,7 +165,7 @@ def fit(found: list[tuple[int, np.ndarray]]) -> Model:
     empty = np.zeros(0)
     if len(set(labels.tolist())) < 2:
         share = 0.5 if not len(labels) else (0.99 if labels[0] else 0.01)
-        return Model(empty.astype(np.int64), empty, 0.0, 1.0, float(np.log(share / (1 - share))), empty)
+        return Model(empty.astype(np.uint32), empty, 0.0, 1.0, float(np.log(share / (1 - share))), empty)
     hashes, counts = np.unique(np.concatenate([x for _, x in found]), return_counts=True)
     hashes = hashes[counts >= MIN_DOCS]
     n = len(hashes)
@@ -171,23 +185,41 @@ def fit(found: list[tuple[int, np.ndarray]]) -> Model:
     return Model(hashes, weights[:n] * ratios, float(weights[n]), scale, offset, ratios**2)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_DOCS) -> Model:
-    """Fit on at most ``rows`` labelled documents; held-out ones (crc32 of the id mod 5 is 0) are never among them."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> Model:
+    """Fit on at most ``rows`` labelled documents of ``most_bytes`` in all; held-out ones (crc32 of the id mod 5 is 0) are never among them.
+
+    So what the driver gets is bounded, whatever the texts' lengths. Null and empty texts
+    count without indicators; repeated rows count once; other columns are ignored. Without
+    labels of both kinds, or without documents, every score is the same.
+    """
     bounded_batches(docs.sparkSession)
+    sample = stored(labelled_sample(docs, labels, rows), "sample")
+    sizes = sample.select("key", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy(F.xxhash64("key"), "key").collect()  # ``rows`` small rows
+    held, chosen = 0, []
+    for r in sizes:
+        if held + r["size"] <= most_bytes:
+            held += r["size"]
+            chosen.append((r["key"],))
+    if not chosen:
+        return fit([])
+    chosen = docs.sparkSession.createDataFrame(chosen, sample.select("key").schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [indicators(t or "") for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("key").cast(pa.int64()), b.column("label"), pa.array(made, pa.list_(pa.int64()))], ["key", "label", "x"])
+            made = [indicators(t or "").tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("key").cast(pa.string()), b.column("label"), pa.array(made, pa.binary())], ["key", "label", "x"])
 
-    found = labelled_sample(docs, labels, rows).mapInArrow(run, "key bigint, label int, x array<bigint>").toArrow()
-    order = np.argsort(found["key"].to_numpy(), kind="stable").tolist()
-    ys, xs = found["label"].to_pylist(), found["x"].combine_chunks() if len(found) else []
-    return fit([(ys[i], np.asarray(xs[i].values.to_numpy(), np.int64)) for i in order])
+    found = sample.join(F.broadcast(chosen), "key").mapInArrow(run, "key string, label int, x binary").toArrow().to_pylist()
+    return fit([(r["label"], np.frombuffer(r["x"], np.uint32)) for r in sorted(found, key=lambda r: (r["key"], r["label"]))])
 
 
 def score(docs: DataFrame, model: Model, keys: list[str], text: str = "text") -> DataFrame:
-    """``keys`` plus ``score`` (0 to 1) of each row's whole text; a null or empty text has no indicators and scores by the bias."""
+    """``keys`` plus ``score`` (0 to 1) of each row's whole text; a null or empty text has no indicators and scores by the bias.
+
+    Texts of any length. Repeated rows give repeated results, an empty table none; columns
+    not in ``keys`` are ignored; a key named ``score`` is refused.
+    """
+    distinct_names(keys, ["score"])
     bounded_batches(docs.sparkSession)
     chosen = docs.select(*keys, F.col(text).alias("__text"))
     head = [f"`{c}` {t}" for c, t in chosen.dtypes[: len(keys)]]
@@ -202,6 +234,7 @@ def score(docs: DataFrame, model: Model, keys: list[str], text: str = "text") ->
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and prediction of every document, by a model fitted on labelled rows that aren't held out."""
     docs = read(spark, sf_dir, "documents")
     model = train(docs, read(spark, sf_dir, "labels"))
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0

@@ -152,6 +152,63 @@ def test_classifier_held_out(spark):
     assert (held.predicted == held.quality).mean() >= 0.95
 
 
+def test_indicators():
+    one = quality_classifier.indicators("Alpha beta gamma. alpha")
+    assert (np.diff(one.astype(np.int64)) > 0).all() and len(quality_classifier.indicators(" \n")) == 0
+    # shapes Xx1 x0 x1. x1: 4 + 3 + 2 n-grams; words alpha beta gamma. (alpha again): 3 + 3 + 2
+    assert len(one) == 17
+    assert set(quality_classifier.indicators("beta gamma.")) < set(one)
+    assert len(set(quality_classifier.indicators("a a a")) & set(quality_classifier.indicators("a"))) == 2
+
+
+def test_training_is_bounded_in_bytes(spark):
+    docs, labels = read(spark, SF, "documents"), read(spark, SF, "labels")
+    small = quality_classifier.train(docs, labels, most_bytes=100_000)
+    whole = quality_classifier.train(docs, labels)
+    assert 0 < len(small.hashes) < len(whole.hashes)
+    assert not len(quality_classifier.train(docs, labels, most_bytes=0).hashes)
+
+
+def plain_scores(train, texts):
+    """The model in plain Python, from its definition, on dense vectors."""
+    every = sorted({h for _, x in train for h in x.tolist()})
+    every = [h for h in every if sum(h in set(x.tolist()) for _, x in train) >= quality_classifier.MIN_DOCS]
+    at = {h: i for i, h in enumerate(every)}
+
+    def vector(x):
+        v = np.zeros(len(every))
+        v[[at[h] for h in x.tolist() if h in at]] = 1
+        return v
+
+    xs, ys = np.array([vector(x) for _, x in train]), np.array([y for y, _ in train])
+    curve = np.arange(len(ys)) % quality_classifier.CALIBRATION_SHARE == 0
+    p, q = xs[~curve & (ys == 1)].sum(0) + 1, xs[~curve & (ys == 0)].sum(0) + 1
+    ratio = np.log((p / p.sum()) / (q / q.sum()))
+    scaled = xs * ratio
+    scaled /= np.maximum(np.linalg.norm(scaled, axis=1, keepdims=True), 1e-12)
+    a, signs = scaled[~curve], np.where(ys[~curve] == 1, 1.0, -1.0)
+    n = len(signs)
+    cost = np.where(signs > 0, n / (2 * (signs > 0).sum()), n / (2 * (signs < 0).sum()))
+    w, b, alpha, rng = np.zeros(len(every)), 0.0, np.zeros(n), np.random.default_rng(42)
+    for _ in range(quality_classifier.EPOCHS):
+        for i in rng.permutation(n):
+            new = min(max(alpha[i] - (signs[i] * (a[i] @ w + b) - 1) / (a[i] @ a[i] + 1), 0), cost[i])
+            w, b, alpha[i] = w + (new - alpha[i]) * signs[i] * a[i], b + (new - alpha[i]) * signs[i], new
+    scale, offset = quality_classifier.logistic_curve(scaled[curve] @ w + b, ys[curve])
+    tested = np.array([vector(quality_classifier.indicators(t)) for t in texts]) * ratio
+    margins = tested / np.maximum(np.linalg.norm(tested, axis=1, keepdims=True), 1e-12) @ w + b
+    return 1 / (1 + np.exp(-(scale * margins + offset)))
+
+
+def test_scores_against_plain_python():
+    rng = np.random.default_rng(7)
+    good, bad = ["the", "of", "Cat", "dog.", "ran"], ["BUY!!", "now$$", "the", "of", "x9"]
+    texts = [(int(i % 3 == 0), " ".join(rng.choice(bad if i % 3 else good, 8))) for i in range(80)]
+    train = [(y, quality_classifier.indicators(t)) for y, t in texts[:60]]
+    model = quality_classifier.fit(train)
+    assert [model.score(t) for _, t in texts[60:]] == pytest.approx(plain_scores(train, [t for _, t in texts[60:]]).tolist(), abs=1e-9)
+
+
 def test_hinge_loss_optimum():
     rows = [np.array([0]), np.array([0]), np.array([1]), np.array([1])]
     values = [np.array([1.0])] * 4
