@@ -108,7 +108,17 @@ def matrix_to_quaternion(m: Sequence[Sequence[Column]]) -> Column:
 
 
 #: Fixed: accepted spellings of units.
-UNITS = {"meter": "m", "metre": "m", "millimeter": "mm", "micrometer": "um", "micron": "um", "µm": "um", "μm": "um", "nanometer": "nm", "second": "s", "millisecond": "ms", "minute": "min", "hour": "h"}
+UNITS = {
+    "meter": "m", "metre": "m", "meters": "m", "metres": "m",
+    "centimeter": "cm", "centimetre": "cm", "centimeters": "cm", "centimetres": "cm",
+    "kilometer": "km", "kilometre": "km", "kilometers": "km", "kilometres": "km",
+    "millimeter": "mm", "millimetre": "mm", "millimeters": "mm", "millimetres": "mm",
+    "micrometer": "um", "micrometre": "um", "micrometers": "um", "micrometres": "um", "micron": "um", "microns": "um", "µm": "um", "μm": "um",
+    "nanometer": "nm", "nanometre": "nm", "nanometers": "nm", "nanometres": "nm",
+    "pixel": "px", "pixels": "px",
+    "second": "s", "seconds": "s", "sec": "s", "millisecond": "ms", "milliseconds": "ms",
+    "minute": "min", "minutes": "min", "hour": "h", "hours": "h",
+}
 
 
 def canonical_unit(unit: Column) -> Column:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dims import View
+from .ordering import held, sized
 from .slicing import every
 
 BARRIER_SLACK = 1e-6
@@ -40,13 +42,32 @@ def row_ranges(chunks: DataFrame, chunk_size: int, rows: int) -> DataFrame:
 
 
 def merge_ranges(ranges: DataFrame, *by: str) -> DataFrame:
-    """Overlapping and touching ranges joined. Give ``by`` to merge within groups: without it one window orders all ranges (a few for each chunk)."""
-    window = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("start", "stop")
-    reach = F.max("stop").over(window.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)
-    marked = ranges.withColumn("__fresh", fresh)
-    island = marked.withColumn("__island", F.sum("__fresh").over(window.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*by, "__island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("__island")
+    """Overlapping and touching ranges joined, within groups ``by``.
+
+    Without groups ranges are range-partitioned by their start; within partitions a window
+    finds what a range's predecessors reach, lifted by the reach of the partitions before.
+    """
+    if by:
+        placed, here, order = ranges, Window.partitionBy(*by), ["start", "stop"]
+    else:
+        sorted_ = ranges.select("start", "stop").repartitionByRange("start", "stop").sortWithinPartitions("start", "stop")
+        placed = held(sorted_.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33)))
+        here, order = Window.partitionBy("__part"), ["__at"]
+    before = here.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max("stop").over(before)
+    if not by:
+        earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+        parts = placed.groupBy("__part").agg(F.max("stop").alias("__m")).select("__part", F.max("__m").over(earlier).alias("__reach"))
+        placed = placed.join(F.broadcast(parts), "__part")
+        reach = F.greatest(reach, "__reach")
+    marked = placed.withColumn("__r", reach)
+    marked = marked.withColumn("__fresh", F.when(F.col("__r").isNull() | (F.col("start") > F.col("__r")), 1).otherwise(0))
+    island = F.sum("__fresh").over(here.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    if not by:
+        counts = marked.groupBy("__part").agg(F.sum("__fresh").alias("__f")).select("__part", F.coalesce(F.sum("__f").over(earlier), F.lit(0)).alias("__f0"))
+        marked = marked.join(F.broadcast(counts), "__part")
+        island = island + F.col("__f0")
+    return marked.withColumn("__island", island).groupBy(*by, "__island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("__island")
 
 
 def id_ranges(ids: DataFrame, column: str, span: int = 1 << 20) -> DataFrame:
@@ -63,8 +84,33 @@ def chunks_of_range(ranges: DataFrame, chunk_size: int) -> DataFrame:
     return ranges.filter("stop > start").select(F.explode(F.sequence(first, last)).alias("chunk")).distinct()
 
 
+#: Ranges of chunks that a scan gets as bounds.
+SCAN_RANGES = 512
+
+
+def within_chunks(df: DataFrame, wanted: DataFrame, column: str, width: int = 1, most: int = SCAN_RANGES) -> DataFrame:
+    """Rows of ``df`` whose ``floor(column / width)`` is among the distinct chunks ``wanted`` (a column ``chunk``).
+
+    Runs of chunks become bounds on ``column`` that reach the scan, so files and row groups
+    outside them aren't read. Of more than ``most`` runs the gaps within equal parts of the
+    chunks are read too, and a semi join drops their rows: the rows are the same.
+    """
+    wanted = held(wanted.select("chunk").distinct())
+    runs = held(id_ranges(wanted, "chunk"))
+    exact = runs.count() <= most
+    if not exact:
+        ends = runs.agg(F.min("start").alias("a"), F.max("stop").alias("b")).first()
+        span = -(-(ends["b"] - ends["a"]) // most)
+        runs = wanted.groupBy(F.floor((F.col("chunk") - ends["a"]) / span).alias("__g")).agg(F.min("chunk").alias("start"), (F.max("chunk") + 1).alias("stop"))
+    bounds = runs.collect()  # at most ``most`` rows
+    inside = reduce(lambda a, b: a | b, [(F.col(column) >= r["start"] * width) & (F.col(column) < r["stop"] * width) for r in bounds], F.lit(False))
+    rows = df.filter(inside)
+    if exact:
+        return rows
+    marked = rows.withColumn("__chunk", F.floor(F.col(column) / width).cast("bigint"))
+    return marked.join(sized(wanted.withColumnRenamed("chunk", "__chunk")), "__chunk", "left_semi").drop("__chunk")
+
+
 def read_slice(df: DataFrame, chunks: DataFrame, view: View, chunk_size: int, max_radius: float = 0.0, ord_: str = "ord") -> DataFrame:
-    """Rows of the chunks that the view touches: the index prunes, a semi join reads."""
-    wanted = prune(chunks, view, max_radius).select("chunk")
-    marked = df.withColumn("__chunk", F.floor(F.col(ord_) / chunk_size).cast("bigint"))
-    return marked.join(wanted, marked["__chunk"] == wanted["chunk"], "left_semi").drop("__chunk")
+    """Rows of the chunks that the view touches: the index prunes, bounds on the rows' order reach the scan."""
+    return within_chunks(df, prune(chunks, view, max_radius), ord_, chunk_size)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import quantiles
+
 
 def scale_offset(df: DataFrame, amplitude: str, scale: float = 1.0, offset: float = 0.0) -> DataFrame:
     return df.withColumn(amplitude, F.col(amplitude) * scale + offset)
@@ -25,14 +27,15 @@ def normalise_amplitude(df: DataFrame, amplitude: str, level: str | None = None)
     return df.crossJoin(top).withColumn(amplitude, F.when(F.col("__top") != 0, F.col(amplitude) / F.nullif(F.col("__top"), F.lit(0.0))).otherwise(F.col(amplitude))).drop("__top")
 
 
-def brightness_factor(df: DataFrame, amplitude: str, target: float = 1.0, percentile: float = 0.999) -> DataFrame:
-    """One row: target over the robust reference; null where that is not positive."""
-    return df.agg(F.percentile(amplitude, percentile).alias("reference")).select("reference", F.when(F.col("reference") > 0, target / F.nullif(F.col("reference"), F.lit(0.0))).alias("factor"))
+def brightness_factor(df: DataFrame, amplitude: str, target: float = 1.0, percentile: float = 0.999) -> tuple[float | None, float | None]:
+    """(reference, factor): the robust reference, and target over it; None where that is not positive."""
+    reference = quantiles(df, [(F.col(amplitude), percentile)])[0]
+    return reference, target / reference if reference is not None and reference > 0 else None
 
 
 def normalise_brightness(df: DataFrame, amplitude: str, target: float = 1.0, percentile: float = 0.999) -> DataFrame:
-    factor = F.broadcast(brightness_factor(df, amplitude, target, percentile).select(F.coalesce("factor", F.lit(1.0)).alias("__f")))
-    return df.crossJoin(factor).withColumn(amplitude, F.col(amplitude) * F.col("__f")).drop("__f")
+    factor = brightness_factor(df, amplitude, target, percentile)[1]
+    return df if factor is None else df.withColumn(amplitude, F.col(amplitude) * factor)
 
 
 def translate(df: DataFrame, by: dict[str, float]) -> DataFrame:

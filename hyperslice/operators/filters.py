@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import soft_pass
-from .ordering import ranked
+from .ordering import quantiles, ranked
 from .slicing import every
 
 Limit = tuple[str, str, float | str]
@@ -30,20 +30,21 @@ def filter_by(df: DataFrame, limits: Sequence[tuple[Column, str, str, float]]) -
 
     Mode ``absolute`` compares with the number, ``normalized`` with that share of the
     greatest value, ``percentile`` with that percentile (0..100, linear between rows).
-    Statistics come from one aggregation over all rows, joined back as one row.
+    The greatest value is joined back as one row; percentiles are found first, by counts of
+    parts of the range (``ordering.quantiles``), and are literals of the filter.
     """
     statistics = []
     for i, (value, _, mode, number) in enumerate(limits):
         if mode == "normalized":
             statistics.append((F.max(value) * number).alias(f"__t{i}"))
-        elif mode == "percentile":
-            statistics.append(F.percentile(value, number / 100).alias(f"__t{i}"))
-        elif mode != "absolute":
+        elif mode not in ("absolute", "percentile"):
             raise ValueError(f"unknown mode {mode}")
+    shares = [(value, number / 100) for value, _, mode, number in limits if mode == "percentile"]
+    found = iter(quantiles(df, shares))
     joined = df.crossJoin(F.broadcast(df.agg(*statistics))) if statistics else df  # one row
     checks = []
     for i, (value, side, mode, number) in enumerate(limits):
-        limit = F.lit(float(number)) if mode == "absolute" else F.col(f"__t{i}")
+        limit = F.lit(float(number)) if mode == "absolute" else F.lit(next(found)).cast("double") if mode == "percentile" else F.col(f"__t{i}")
         checks.append(value >= limit if side == "min" else value <= limit)
     return joined.filter(every(checks)).select(*df.columns)
 

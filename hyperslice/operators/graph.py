@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import held, ranked
+from .ordering import held, join_hot, ranked
 
 
 def remap(edges: DataFrame, nodes: DataFrame, src: str = "src", dst: str = "dst", node: str = "id") -> DataFrame:
@@ -45,17 +50,43 @@ def adjacency(edges: DataFrame, a: str, b: str) -> DataFrame:
     return both.groupBy("a", "b").agg(F.least(F.count("*"), F.lit(1)).alias("weight"))
 
 
+#: Edges up to which one task finishes the components: 16 MB.
+ONE_TASK = 1 << 20
+
+
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v): each node of the edges that isn't its component's least, and the least; all edges in one task."""
+    pairs = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1) for b in batches]
+    if not pairs:
+        return
+    ids, ends = np.unique(np.concatenate(pairs), return_inverse=True)
+    a, b = ends.reshape(-1, 2).T
+    root = np.arange(len(ids))
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            break
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], ["u", "v"])
+
+
 def components(nodes: DataFrame, edges: DataFrame, node: str = "id", src: str = "src", dst: str = "dst") -> DataFrame:
-    """(node, root, lineage): least node of the component, and components numbered from 0 by it. Star contractions, a checkpoint a round."""
+    """(node, root, lineage): least node of the component, and components numbered from 0 by it. Star contractions, a checkpoint a round; hubs are joined apart, so they are no hot keys. Integer nodes of up to ``ONE_TASK`` edges are finished by one task, with the same result."""
     now = held(edges.filter(F.col(src) != F.col(dst)).select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct())
+    one_task = dict(nodes.dtypes)[node] in ("smallint", "int", "bigint") and now.count() <= ONE_TASK
+    if one_task:
+        now = held(now.select(F.col("u").cast("bigint"), F.col("v").cast("bigint")).repartition(1).mapInArrow(_rooted, "u bigint, v bigint"))
     state = None
-    while (found := now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()) != state and found[0]:
+    while not one_task and (found := now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()) != state and found[0]:
         state = found
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
+        least = held(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("__n")).select("u", F.least("u", "m").alias("m"), "__n"))
+        large = held(join_hot(both.filter("v > u"), least, "u", 2 * found[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = held(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("__n")))
+        small = join_hot(large, least, "u", found[0]).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         now = held(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct())
     rooted = nodes.select(node).distinct().join(now, nodes[node] == now["u"], "left").select(node, F.coalesce("v", node).alias("root"))
     numbers = ranked(rooted.select("root").distinct(), [F.col("root")], "__l").select("root", (F.col("__l") - 1).alias("lineage"))
@@ -91,22 +122,28 @@ def top_groups(df: DataFrame, group: str, n: int = 20) -> DataFrame:
     return df.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), group).limit(n)
 
 
-def node_list_hash(nodes: DataFrame, node: str, blocks: int = 4096) -> DataFrame:
-    """One row: 16 hex digits over the sorted node names, by hashes of ordered blocks (sorted within blocks of a hash), so no task holds all names."""
-    name = F.col(node).cast("string")
-    parts = nodes.groupBy(F.pmod(F.xxhash64(name), F.lit(blocks)).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(name)), "\n"), 256).alias("h"))
-    return parts.agg(F.substring(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda s: s["h"]), "\n"), 256), 1, 16).alias("hash"))
+def node_list_hash(nodes: DataFrame, node: str) -> DataFrame:
+    """One row: the first 16 hex digits of the SHA-256 of the sorted names, a line each.
 
-
-def ancestors(tree: DataFrame, node: str = "path", parent: str = "parent", depth: int = 64) -> DataFrame:
-    """(node, ancestor, distance), each node its own at distance 0; joins double the reach, so log(depth) rounds."""
-    up = held(tree.filter(F.col(parent).isNotNull()).select(F.col(node).alias("n"), F.col(parent).alias("a"), F.lit(1).alias("d")))
-    found, reach = up, 1
-    while reach < depth:
+    One digest over all names is sequential by definition: sorted partitions stream through
+    it one after another, so only one is in memory at a time.
+    """
+    digest, first = hashlib.sha256(), True
+    for r in nodes.select(F.col(node).cast("string").alias("n")).orderBy("n").toLocalIterator():
+        digest.update(("" if first else "\n").encode() + (r["n"] or "").encode())
+        first = False
+    return nodes.sparkSession.range(1).select(F.lit(digest.hexdigest()[:16]).alias("hash"))
+
+
+def ancestors(tree: DataFrame, node: str = "path", parent: str = "parent") -> DataFrame:
+    """(node, ancestor, distance), each node its own at distance 0; joins double the reach until they add nothing, so log(depth) rounds. A cycle raises."""
+    found, reach = held(tree.filter(F.col(parent).isNotNull()).select(F.col(node).alias("n"), F.col(parent).alias("a"), F.lit(1).alias("d"))), 1
+    while True:
+        if not found.filter("n = a").isEmpty():
+            raise ValueError("a node is its own ancestor")
         far = found.filter(F.col("d") == reach).select(F.col("n").alias("xn"), F.col("a").alias("xa"), F.col("d").alias("xd"))
         more = found.select(F.col("n").alias("yn"), F.col("a").alias("ya"), F.col("d").alias("yd"))
-        step = far.join(more, F.col("xa") == F.col("yn")).select(F.col("xn").alias("n"), F.col("ya").alias("a"), (F.col("xd") + F.col("yd")).alias("d"))
-        step = held(step)
+        step = held(far.join(more, F.col("xa") == F.col("yn")).select(F.col("xn").alias("n"), F.col("ya").alias("a"), (F.col("xd") + F.col("yd")).alias("d")))
         if step.isEmpty():
             break
         found = held(found.unionByName(step))
@@ -157,7 +194,7 @@ def merkle(tree: DataFrame, content: str, node: str = "path", parent: str = "par
     return done.select(node, "hash") if done is not None else tree.select(node, F.lit("").alias("hash"))
 
 
-def latest(requests: DataFrame, by: str, at: str) -> DataFrame:
-    """The newest row for each key."""
-    order = Window.partitionBy(by).orderBy(F.desc(at))
-    return requests.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
+def latest(requests: DataFrame, by: str, at: str, ties: Sequence[str] = ()) -> DataFrame:
+    """The newest row for each key; of equally new ones that of the greatest ``ties``. Combines before the shuffle."""
+    whole = F.struct(*[F.col(c) for c in requests.columns])
+    return requests.groupBy(F.col(by).alias("__by")).agg(F.max_by(whole, F.struct(at, *ties)).alias("r")).select("r.*")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dims import Dimension
+from .ordering import sized
 
 
 def bounds(df: DataFrame, axes: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -34,15 +35,21 @@ def _gcd(a: Column, b: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(48)), start, step, lambda s: s["a"])
 
 
-def discrete_step(df: DataFrame, axis: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by, step): the greatest common divisor of the gaps between distinct integer coordinates; 1 where they are not integers, too large, or fewer than two."""
-    values = df.select(*by, F.col(axis).cast("double").alias("x")).distinct()
-    gap = F.col("x") - F.lag("x").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("x"))
-    gaps = values.withColumn("gap", gap)
-    bad = F.isnan("x") | (F.abs("x") > float(1 << 24)) | (F.col("x") != F.rint("x"))
-    grouped = gaps.groupBy(*by).agg(F.collect_set(F.when(F.col("gap").isNotNull() & ~bad, F.col("gap").cast("bigint"))).alias("g"), F.max(bad).alias("bad"))
-    folded = F.aggregate("g", F.lit(0).cast("bigint"), lambda s, x: _gcd(s, x))
-    return grouped.select(*by, F.when(F.col("bad") | (F.size("g") == 0), 1.0).otherwise(folded.cast("double")).alias("step"))
+def discrete_step(df: DataFrame, axis: str, by: Sequence[str] = (), parts: int = 256) -> DataFrame:
+    """(by, step): the greatest common divisor of the gaps between distinct integer coordinates; 1 where they are not integers, too large, or fewer than two.
+
+    That is the divisor of all distances from the least coordinate, folded in parts of their hash and then over the parts.
+    """
+    x = F.col(axis).cast("double")
+    bad = F.isnan(x) | (F.abs(x) > float(1 << 24)) | (x != F.rint(x))
+    ends = df.groupBy(*by).agg(F.min(F.when(~bad, x)).alias("__lo"), F.max(bad).alias("__bad"))
+    integers = df.filter(~bad).select(*by, x.alias("x")).distinct()
+    away = (integers.join(sized(ends), list(by)) if by else integers.crossJoin(F.broadcast(ends))).withColumn("__d", (F.col("x") - F.col("__lo")).cast("bigint")).filter("__d > 0")
+    fold = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, v: _gcd(s, v))
+    folded = away.groupBy(*by, F.pmod(F.xxhash64("__d"), F.lit(parts)).alias("__p")).agg(fold(F.collect_set("__d")).alias("__g"))
+    folded = folded.groupBy(*by).agg(fold(F.collect_set("__g")).alias("__g"))
+    joined = ends.join(folded, list(by), "left") if by else ends.crossJoin(F.broadcast(folded))
+    return joined.select(*by, F.when(F.col("__bad") | F.col("__g").isNull() | (F.col("__g") == 0), 1.0).otherwise(F.col("__g").cast("double")).alias("step"))
 
 
 def missing_values(df: DataFrame, group: str, axis: str) -> DataFrame:
@@ -51,7 +58,7 @@ def missing_values(df: DataFrame, group: str, axis: str) -> DataFrame:
     sizes = seen.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), group)
     reference = sizes.limit(1).select(F.col(group).alias("__ref"))
     wanted = seen.join(F.broadcast(reference), seen[group] == reference["__ref"], "left_semi").select(axis)
-    pairs = sizes.select(group).crossJoin(F.broadcast(wanted))  # the axis' distinct values
+    pairs = sizes.select(group).crossJoin(sized(wanted))  # what is asked for: each group against each value of the reference
     return pairs.join(seen, [group, axis], "left_anti")
 
 

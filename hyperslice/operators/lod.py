@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import covariance
-from .ordering import grid_codes, held, ranked
+from .ordering import grid_codes, held, ranked, sized
 
 
 def stream_cuts(n: int, chunk: int, max_levels: int | None = None) -> list[int]:
@@ -80,10 +80,10 @@ def stratified_levels(df: DataFrame, axes: Sequence[str], key: str, levels: int)
     for i in range(levels - 1):
         n = 2 ** (i + 1)
         cells = [F.least(F.floor((F.col(a) - F.col(f"__lo_{a}")) / F.nullif(F.col(f"__hi_{a}") - F.col(f"__lo_{a}"), F.lit(0.0)) * n), F.lit(n - 1)) for a in axes]
-        cells = [F.coalesce(c, F.lit(0)) for c in cells]
-        marked = held(left.withColumn("__first", F.row_number().over(Window.partitionBy(*cells).orderBy(key)) == 1))
-        done.append(marked.filter("__first").drop("__first").withColumn("lod", F.lit(i)))
-        left = marked.filter("not __first").drop("__first")
+        cells = [F.coalesce(c, F.lit(0)).alias(f"__c{j}") for j, c in enumerate(cells)]
+        first = sized(held(left.groupBy(*cells).agg(F.min(key).alias(key)).select(key)))  # a row for each cell, combined before the shuffle
+        done.append(left.join(first, key, "left_semi").withColumn("lod", F.lit(i)))
+        left = held(left.join(first, key, "left_anti"))
     out = left.withColumn("lod", F.lit(levels - 1))
     for d in done:
         out = out.unionByName(d)

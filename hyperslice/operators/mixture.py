@@ -13,12 +13,25 @@ from ..functions import covariance
 from .neighbors import bucketed
 
 
-def inner_product(a: DataFrame, b: DataFrame, axes: Sequence[str], sigmas: Sequence[str], amplitude: str, cell: float) -> DataFrame:
-    """One row: the sum of pair kernels over splats whose centers lie in the same or touching cells.
+#: Largest sigmas within which pairs are summed: beyond, a pair adds under e^-36 of its peak, less than a double holds.
+REACH = 12.0
 
-    With a cell of at least six of the largest sigmas the pairs left out add less than
-    e^-9 of a pair's peak; pairs meet by an equi-join on cells.
+
+def reach_of(parts: Sequence[DataFrame], sigmas: Sequence[str]) -> float:
+    """A cell width that holds ``REACH`` of the largest sigma of all parts."""
+    widest = [df.agg(F.greatest(*[F.max(s) for s in sigmas]) if len(sigmas) > 1 else F.max(sigmas[0])).first()[0] for df in parts]
+    return REACH * max((w for w in widest if w), default=1.0)
+
+
+def inner_product(a: DataFrame, b: DataFrame, axes: Sequence[str], sigmas: Sequence[str], amplitude: str, cell: float | None = None) -> DataFrame:
+    """One row: the sum of pair kernels over splats whose centers lie in the same or touching cells, which is the whole sum to double precision.
+
+    The cell follows from the largest sigma; a narrower one is refused. Pairs meet by an equi-join on cells.
     """
+    needed = reach_of([a, b], sigmas)
+    if cell is not None and cell < needed:
+        raise ValueError(f"a cell of {cell} would lose pairs: {needed} are needed")
+    cell = cell or needed
     p = bucketed(a.select(F.col(amplitude).alias("a_amp"), *[F.col(x).alias(f"a_{x}") for x in (*axes, *sigmas)]), [f"a_{x}" for x in axes], cell)
     q = bucketed(b.select(F.col(amplitude).alias("b_amp"), *[F.col(x).alias(f"b_{x}") for x in (*axes, *sigmas)]), [f"b_{x}" for x in axes], cell, 1)
     pairs = p.join(q, [f"__k{i}" for i in range(len(axes))])
@@ -26,7 +39,7 @@ def inner_product(a: DataFrame, b: DataFrame, axes: Sequence[str], sigmas: Seque
     return pairs.agg(F.coalesce(F.sum(kernel), F.lit(0.0)).alias("inner"))
 
 
-def similarity(a: DataFrame, b: DataFrame, axes: Sequence[str], sigmas: Sequence[str], amplitude: str, cell: float) -> DataFrame:
+def similarity(a: DataFrame, b: DataFrame, axes: Sequence[str], sigmas: Sequence[str], amplitude: str, cell: float | None = None) -> DataFrame:
     """One row: 1 - |a - b|^2 / |b|^2, held in 0..1."""
     products = [inner_product(x, y, axes, sigmas, amplitude, cell).withColumnRenamed("inner", n) for x, y, n in ((a, a, "aa"), (a, b, "ab"), (b, b, "bb"))]
     joined = products[0].crossJoin(products[1]).crossJoin(products[2])  # a row each
@@ -34,35 +47,66 @@ def similarity(a: DataFrame, b: DataFrame, axes: Sequence[str], sigmas: Sequence
     return joined.select(F.coalesce(F.least(F.greatest(q, F.lit(0.0)), F.lit(1.0)), F.lit(0.0)).alias("quality"))
 
 
+def agglomerated(mu: np.ndarray, var: np.ndarray, mass: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows merged, always the two of least cost, until ``target`` are left; of equal costs the first pair.
+
+    Each row keeps its cheapest later partner, so a merge takes time in proportion to the
+    rows (and more only where a partner was merged away), and memory does too.
+    """
+    mu, var, mass = mu.copy(), var.copy(), mass.copy()
+    n = len(mu)
+    alive = np.ones(n, bool)
+    least, partner = np.full(n, np.inf), np.full(n, -1)
+
+    def costs(i: int, others: np.ndarray) -> np.ndarray:
+        gap = ((mu[others] - mu[i]) ** 2).sum(-1)
+        return gap * (mass[others] * mass[i] / np.maximum(mass[others] + mass[i], 1e-300))
+
+    def renew(i: int) -> None:
+        later = np.flatnonzero(alive[i + 1 :]) + i + 1
+        if len(later):
+            c = costs(i, later)
+            k = int(c.argmin())
+            least[i], partner[i] = c[k], later[k]
+        else:
+            least[i], partner[i] = np.inf, -1
+
+    for i in range(n):
+        renew(i)
+    for _ in range(n - target):
+        i = int(np.where(alive, least, np.inf).argmin())
+        j = int(partner[i])
+        total = mass[i] + mass[j]
+        w = np.array([mass[i], mass[j]]) / total if total > 0 else np.array([0.5, 0.5])
+        mean = w[0] * mu[i] + w[1] * mu[j]
+        var[i] = w[0] * (var[i] + mu[i] ** 2) + w[1] * (var[j] + mu[j] ** 2) - mean**2
+        mu[i], mass[i], alive[j] = mean, total, False
+        renew(i)
+        before = np.flatnonzero(alive[:i])
+        c = costs(i, before)
+        closer = (c < least[before]) | ((c == least[before]) & (i < partner[before]))
+        stale = np.isin(partner[before], (i, j)) & ~closer
+        least[before[closer]], partner[before[closer]] = c[closer], i
+        for k in [*before[stale].tolist(), *(np.flatnonzero(alive[i + 1 : j] & (partner[i + 1 : j] == j)) + i + 1).tolist()]:
+            renew(k)
+    return mu[alive], var[alive], mass[alive]
+
+
 def greedy_merge(df: DataFrame, axes: Sequence[str], sigmas: Sequence[str], amplitude: str, tile: float, share: float) -> DataFrame:
     """Within tiles, the two rows whose merging moves least mass become one until a share of the rows is left.
 
-    Agglomeration is sequential, so each tile is one group: tiles should hold up to some
-    thousands of rows. Masses, means and variances are kept by moment matching.
+    Agglomeration is sequential, so each tile is one group, and a merge takes time in
+    proportion to its rows: choose tiles that hold some ten thousands of rows at most.
+    Masses, means and variances are kept by moment matching.
     """
     names = [*axes, *sigmas, amplitude]
     d = len(axes)
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame[names].to_numpy(float)
-        mu, var = rows[:, :d], rows[:, d : 2 * d] ** 2
-        mass = rows[:, -1] * np.sqrt(var.prod(1))
-        target = max(1, round(share * len(rows)))
-        alive = np.ones(len(rows), bool)
-        for _ in range(len(rows) - target):
-            at = np.flatnonzero(alive)
-            m = mass[at]
-            gap = ((mu[at][:, None] - mu[at]) ** 2).sum(-1)
-            cost = gap * (m[:, None] * m / np.maximum(m[:, None] + m, 1e-300))
-            np.fill_diagonal(cost, np.inf)
-            i, j = (at[k] for k in np.unravel_index(cost.argmin(), cost.shape))
-            total = mass[i] + mass[j]
-            w = np.array([mass[i], mass[j]]) / total if total > 0 else np.array([0.5, 0.5])
-            mean = w[0] * mu[i] + w[1] * mu[j]
-            var[i] = w[0] * (var[i] + mu[i] ** 2) + w[1] * (var[j] + mu[j] ** 2) - mean**2
-            mu[i], mass[i], alive[j] = mean, total, False
-        sigma = np.sqrt(np.maximum(var[alive], 1e-24))
-        return pd.DataFrame(np.hstack([mu[alive], sigma, (mass[alive] / sigma.prod(1))[:, None]]), columns=names)
+        rows = frame[names].sort_values(names).to_numpy(float)
+        mu, var, mass = agglomerated(rows[:, :d], rows[:, d : 2 * d] ** 2, rows[:, -1] * rows[:, d : 2 * d].prod(1), max(1, round(share * len(rows))))
+        sigma = np.sqrt(np.maximum(var, 1e-24))
+        return pd.DataFrame(np.hstack([mu, sigma, (mass / sigma.prod(1))[:, None]]), columns=names)
 
     keys = [F.floor(F.col(a) / tile).alias(f"__t{i}") for i, a in enumerate(axes)]
     placed = df.select(*[F.col(n).cast("double").alias(n) for n in names], *keys)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import held
+from .slicing import every
 
 
 def squared(a: Sequence[Column], b: Sequence[Column]) -> Column:
@@ -41,20 +42,22 @@ def neighbor_counts(df: DataFrame, axes: Sequence[str], radius: float, key: str,
     return df.select(key).join(counts, df[key] == counts["query"], "left").select(key, F.coalesce("__n", F.lit(0)).alias("neighbors"))
 
 
-def nearest(points: DataFrame, queries: DataFrame, axes: Sequence[str], k: int, key: str, query: str, cell: float, groups: Sequence[str] = (), exclude_self: bool = False, max_rings: int = 64) -> DataFrame:
+def nearest(points: DataFrame, queries: DataFrame, axes: Sequence[str], k: int, key: str, query: str, cell: float, groups: Sequence[str] = (), exclude_self: bool = False) -> DataFrame:
     """(query, key, d2, rank) of the k nearest rows of a query's group, ties by key.
 
     Rings of cells are searched until the k-th distance is at most the ring's width
     (nothing nearer can be outside it) or the group is exhausted; only unfinished
-    queries go on, with rings twice as wide.
+    queries go on, with rings twice as wide. Rows with a null or NaN coordinate are near nothing.
     """
-    if k < 1:
-        raise ValueError("k must be at least 1")
+    if k < 1 or cell <= 0:
+        raise ValueError("k must be at least 1, and a cell wider than 0")
+    sound = every([F.col(a).isNotNull() & ~F.isnan(F.col(a).cast("double")) for a in axes])
+    points, queries = points.filter(sound), queries.filter(sound)
     sizes = points.groupBy(*groups).agg(F.count("*").alias("__size")) if groups else points.agg(F.count("*").alias("__size"))
     p = points.select(F.col(key), *axes, *groups)
     left = queries.select(F.col(query).alias("__q"), *[F.col(a).alias(f"__{a}") for a in axes], *groups)
     left = left.join(sizes, list(groups), "left") if groups else left.crossJoin(F.broadcast(sizes))  # one row
-    done, ring, width = [], 1, cell
+    done, width = [], cell
     while True:
         b = bucketed(p, axes, width)
         q = bucketed(left, [f"__{a}" for a in axes], width, 1)
@@ -69,8 +72,7 @@ def nearest(points: DataFrame, queries: DataFrame, axes: Sequence[str], k: int,
         complete = reach.filter(((F.col("n") >= k) & (F.col("far") <= width * width)) | (F.col("n") >= others)).select("__q")
         done.append(found.join(complete, "__q", "left_semi").select("__q", key, "d2", "rank"))
         left = held(left.join(complete, "__q", "left_anti").filter(F.col("__size") > (1 if exclude_self else 0)))
-        ring += 1
-        if left.isEmpty() or ring > max_rings:
+        if left.isEmpty():
             break
         width *= 2
     out = done[0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -12,18 +13,117 @@ from pyspark.sql import functions as F
 from ..functions import curves
 
 
-def held(df: DataFrame) -> DataFrame:
-    """``df`` computed once: written to a table in the cluster's shared checkpoint folder and read again, which cuts its lineage.
+#: Rows of under 200 bytes up to which a counted table may be broadcast.
+BROADCAST_ROWS = 200_000
+#: A key of over one in so many rows is hot; there are at most so many hot keys.
+HOT = 1000
+#: Folders that this session has written intermediate tables to.
+_written: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder of checkpoints.
 
-    Only where ``spark.checkpoint.dir`` is unset (in tests) a folder of this machine serves.
+    Only in local mode a folder of this machine serves where ``spark.checkpoint.dir`` is
+    unset (in tests); on a cluster it would be lost with an executor, so that is refused.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hyperslice-"))
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/held-{uuid.uuid4().hex}"
+        path = sc.getConf().get("spark.checkpoint.dir", None)
+        if path is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="hyperslice-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def held(df: DataFrame) -> DataFrame:
+    """``df`` computed once: written to a table in the cluster's shared folder and read again, which cuts its lineage."""
+    path = f"{shared_dir(df.sparkSession)}/held-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables of ``held``, after the results that read them are written; how many there were."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast where its counted rows allow it, else as it is."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def join_hot(rows: DataFrame, table: DataFrame, on: str, total: int) -> DataFrame:
+    """``rows`` joined with ``table``: a row for each key ``on``, and ``__n``, how many of the ``total`` rows have it.
+
+    Hot keys (at most ``HOT``, so they can be broadcast) are joined where their rows are;
+    only the others are shuffled. ``table`` should be held: it is read three times.
+    """
+    hot = F.col("__n") * HOT > total
+    cold = rows.join(F.broadcast(table.filter(hot).select(on)), on, "left_anti")
+    few = F.broadcast(table.filter(hot).drop("__n"))
+    return rows.join(few, on).unionByName(cold.join(table.filter(~hot).drop("__n"), on))
+
+
+def order_statistics(df: DataFrame, wanted: Sequence[tuple[Column, int]], bins: int = 1024) -> list[float]:
+    """Exactly the value of each rank (from 0, among values that are neither null nor NaN; it must exist), in about three scans.
+
+    A scan counts, for each rank looked for, the values in equal parts of the interval
+    that holds it; the interval shrinks to the part that does, down to one value. No task
+    and no driver holds more than the parts' counts. Infinite values are refused.
+    """
+    values = [v.cast("double") for v, _ in wanted]
+    ends = df.agg(*[f.alias(f"{n}{i}") for i, v in enumerate(values) for n, f in (("lo", F.min(F.when(~F.isnan(v), v))), ("hi", F.max(F.when(~F.isnan(v), v))))]).first()
+    found = {i: (ends[f"lo{i}"], ends[f"hi{i}"], 0) for i in range(len(wanted))}  # low, high, rows below
+    if any(math.isinf(x) for lo, hi, _ in found.values() for x in (lo, hi)):
+        raise ValueError("infinite values have no percentiles")
+    while left := [i for i, (lo, hi, _) in found.items() if lo < hi]:
+        asked = []
+        for i in left:
+            lo, hi, _ = found[i]
+            at = F.least(F.floor((values[i] / 2 - lo / 2) / (hi / 2 - lo / 2) * bins).cast("int"), F.lit(bins - 1))
+            asked.append(F.when((values[i] >= lo) & (values[i] <= hi), F.struct(F.lit(i).alias("i"), at.alias("bin"), values[i].alias("v"))))
+        counted = df.select(F.explode(F.array_compact(F.array(*asked))).alias("e")).groupBy("e.i", "e.bin").agg(F.count("*").alias("n"), F.min("e.v").alias("lo"), F.max("e.v").alias("hi"))
+        rows = sorted(counted.collect(), key=lambda r: (r.i, r.bin))  # at most ``bins`` for each rank
+        for i in left:
+            below = found[i][2]
+            for r in rows:
+                if r.i == i:
+                    if wanted[i][1] < below + r.n:
+                        found[i] = (r.lo, r.hi, below)
+                        break
+                    below += r.n
+    return [found[i][0] for i in range(len(wanted))]
+
+
+def quantiles(df: DataFrame, wanted: Sequence[tuple[Column, float]]) -> list[float | None]:
+    """The exact percentile (share 0..1, linear between rows) of each value: nulls don't count, NaN is the greatest; None without values."""
+    if not wanted:
+        return []
+    counts = df.agg(*[f.alias(f"{n}{i}") for i, (v, _) in enumerate(wanted) for n, f in (("n", F.count(v)), ("nan", F.count_if(F.isnan(v.cast("double")))))]).first()
+    places, asked = [], []
+    for i, (v, share) in enumerate(wanted):
+        at = (counts[f"n{i}"] - 1) * share
+        ranks = [r for r in (math.floor(at), math.ceil(at)) if 0 <= r < counts[f"n{i}"] - counts[f"nan{i}"]] if counts[f"n{i}"] else []
+        places.append((at, len(asked), len(ranks)))
+        asked += [(v, r) for r in ranks]
+    values = order_statistics(df, asked) if asked else []
+    out: list[float | None] = []
+    for i, (at, first, n) in enumerate(places):
+        low, high = math.floor(at), math.ceil(at)
+        if not counts[f"n{i}"]:
+            out.append(None)
+        elif n < 2:
+            out.append(float("nan"))
+        else:
+            a, b = values[first], values[first + 1]
+            out.append(a if low == high else (high - at) * a + (at - low) * b)
+    return out
 
 
 def ranked(df: DataFrame, order: Sequence[Column], rank: str = "rank", running: Column | None = None, total: str = "running") -> DataFrame:

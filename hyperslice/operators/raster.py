@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import quantiles
+
 
 def render(splats: DataFrame, axes: Sequence[str], sigmas: Sequence[str], amplitude: str, shape: Sequence[int], truncate: float = 3.0, floor: float = 1e-5) -> DataFrame:
     """(axes, value): the sum of axis-aligned Gaussians at the integer voxels of ``shape`` within ``truncate`` sigmas; values under the floor go."""
@@ -94,7 +96,7 @@ def background(volume: DataFrame, method: str = "mode", bins: int = 256, value:
     """One row: mode of the histogram held at the median, or the tenth percentile, or a second threshold below the first; exact zeros have no vote."""
     seen = volume.filter(F.col(value) != 0)
     if method == "percentile":
-        return seen.agg(F.percentile(value, 0.1).alias("floor"))
+        return volume.sparkSession.range(1).select(F.lit(quantiles(seen, [(F.col(value), 0.1)])[0]).cast("double").alias("floor"))
     if method == "specimen":
         first = F.broadcast(otsu(seen, bins, value))
         below = seen.crossJoin(first).filter(F.col(value) <= F.col("threshold")).drop("threshold")
@@ -102,7 +104,8 @@ def background(volume: DataFrame, method: str = "mode", bins: int = 256, value:
     if method != "mode":
         raise ValueError(f"unknown method {method}")
     mode = histogram(seen, bins, value).agg(F.min(F.struct((-F.col("n")).alias("n"), "center")).alias("m")).select(F.col("m.center").alias("mode"))
-    return mode.crossJoin(F.broadcast(seen.agg(F.percentile(value, 0.5).alias("median")))).select(F.least("mode", "median").alias("floor"))
+    median = quantiles(seen, [(F.col(value), 0.5)])[0]
+    return mode.select(F.least("mode", F.lit(median).cast("double")).alias("floor"))
 
 
 def local_maxima(volume: DataFrame, axes: Sequence[str], threshold: float, value: str = "value") -> DataFrame:

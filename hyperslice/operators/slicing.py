@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -38,9 +39,16 @@ def squared_distance(view: View) -> Column:
     return reduce(lambda a, b: a + b, gaps, F.lit(0.0))
 
 
-def slice_spheres(df: DataFrame, view: View, radius: Column, out: str = "radius") -> DataFrame:
-    """Spheres cut by the slice, with the radius of the cut; discrete axes gate at half a unit, a sphere that only touches has no cut."""
+def slice_spheres(df: DataFrame, view: View, radius: Column, out: str = "radius", max_radius: float | None = None) -> DataFrame:
+    """Spheres cut by the slice, with the radius of the cut; discrete axes gate at half a unit, a sphere that only touches has no cut.
+
+    Gates are stated as plain bounds too, which reach the scan; so do those of the continuous
+    axes where ``max_radius``, the greatest radius of the table, is given.
+    """
     gates = [F.abs(F.col(d.name) - view.at(d)) <= DISCRETE_REACH for d in view.sliced() if d.discrete]
+    gates += [near(F.col(d.name).cast("double"), view.at(d), DISCRETE_REACH + 1e-9) for d in view.sliced() if d.discrete]
+    if max_radius is not None:
+        gates += [near(F.col(d.name).cast("double"), view.at(d), max_radius + 1e-9) for d in view.sliced() if not d.discrete]
     gap = squared_distance(view)
     return df.filter(every(gates)).filter(gap < radius * radius).withColumn(out, F.sqrt(radius * radius - gap))
 
@@ -51,12 +59,18 @@ def project(df: DataFrame, axes: Sequence[str], keep: Sequence[str] = ()) -> Dat
     return df.select(*keep, *[c.alias(n) for c, n in zip(named, "xyz", strict=True)])
 
 
-def slice_splats(df: DataFrame, view: View, amplitude: str, sigmas: dict[str, Column]) -> DataFrame:
+def slice_splats(df: DataFrame, view: View, amplitude: str, sigmas: dict[str, Column], max_amplitude: float | None = None, max_sigmas: dict[str, float] | None = None) -> DataFrame:
     """Axis-aligned splats on the slice: discrete axes gate at half a step, continuous ones attenuate by their Gaussian.
 
-    Rows fainter than a millionth go only where a continuous hidden axis attenuates.
+    Rows fainter than a millionth go only where a continuous hidden axis attenuates. Gates
+    are stated as plain bounds too, which reach the scan; with the table's greatest amplitude
+    and sigmas so is how far a splat can lie from the slice and still be seen.
     """
     gates = [F.abs(F.col(d.name) - view.at(d)) <= DISCRETE_REACH * d.stepping() for d in view.sliced() if d.discrete]
+    gates += [near(F.col(d.name).cast("double"), view.at(d), DISCRETE_REACH * d.stepping() + 1e-9) for d in view.sliced() if d.discrete]
+    if max_amplitude is not None and max_sigmas is not None and max_amplitude > 0:
+        far = math.sqrt(2 * max(0.0, math.log(max_amplitude / LEAST_AMPLITUDE))) + 1e-6
+        gates += [near(F.col(d.name).cast("double"), view.at(d), far * max_sigmas[d.name]) for d in view.hidden() if not d.discrete and d.name not in view.extend]
     smooth = [d for d in view.hidden() if not d.discrete and d.name not in view.extend]
     exponent = reduce(lambda a, b: a + b, [F.pow((F.col(d.name) - view.at(d)) / F.nullif(sigmas[d.name], F.lit(0.0)), 2) for d in smooth], F.lit(0.0))
     out = df.filter(every(gates)).withColumn("sliced_amplitude", F.col(amplitude) * F.exp(-exponent / 2))

@@ -14,17 +14,27 @@ _PAIR = " * ".join(f"sqrt(2 * pi() * a.{s} * a.{s} * b.{s} * b.{s} / (a.{s} * a.
 _GAP = " + ".join(f"(a.{x} - b.{x}) * (a.{x} - b.{x}) / (a.{s} * a.{s} + b.{s} * b.{s})" for x, s in zip(AXES[:2], SIGMAS[:2], strict=True))
 
 
-@query(f"WITH s AS (SELECT * FROM {SPLATS} WHERE id < 1000) SELECT round(sum(a.amp * b.amp * {_PAIR} * exp(-({_GAP}) / 2)) / 1e6, 3) AS inner_product FROM s a, s b WHERE abs(floor(a.x / 10) - floor(b.x / 10)) <= 1 AND abs(floor(a.y / 10) - floor(b.y / 10)) <= 1")
+def _products(a: str, b: str) -> str:
+    return f"(SELECT sum(a.amp * b.amp * {_PAIR} * exp(-({_GAP}) / 2)) FROM {a} a, {b} b)"
+
+
+@query(f"WITH s AS (SELECT * FROM {SPLATS}) SELECT round({_products('s', 's')} / 1e9, 6) AS inner_product")
 def mixture_inner_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = splats(spark, sf_dir).filter("id < 1000")
-    return mixture.inner_product(s, s, AXES[:2], SIGMAS[:2], "amp", 10.0).select(F.round(F.col("inner") / 1e6, 3).alias("inner_product"))
+    """Every pair of splats in the SQL; here those that can add anything."""
+    s = splats(spark, sf_dir)
+    return mixture.inner_product(s, s, AXES[:2], SIGMAS[:2], "amp").select(F.round(F.col("inner") / 1e9, 6).alias("inner_product"))
 
 
-@query("SELECT 1.0e0 AS quality")
+@query(
+    f"""WITH b AS (SELECT * FROM {SPLATS}), a AS (SELECT id, x + 0.25e0 AS x, y, 0.9e0 * amp AS amp, sx, sy FROM b),
+    p AS (SELECT {_products('a', 'a')} AS aa, {_products('a', 'b')} AS ab, {_products('b', 'b')} AS bb)
+    SELECT round(least(1, greatest(0, 1 - (aa - 2 * ab + bb) / bb)), 9) AS quality FROM p"""
+)
 def mixture_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A mixture equals itself."""
-    s = splats(spark, sf_dir).filter("id < 500")
-    return mixture.similarity(s, s, AXES[:2], SIGMAS[:2], "amp", 10.0).select(F.round("quality", 9).alias("quality"))
+    """A mixture that is moved and dimmed, against itself as it was."""
+    s = splats(spark, sf_dir)
+    moved = s.withColumn("x", F.col("x") + 0.25).withColumn("amp", F.col("amp") * 0.9)
+    return mixture.similarity(moved, s, AXES[:2], SIGMAS[:2], "amp").select(F.round("quality", 9).alias("quality"))
 
 
 @query()

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import held
+
 #: Cells of the content grid up to which it may come to the driver.
 MAX_CELLS = 1 << 20
 
@@ -23,14 +25,15 @@ class Box:
         return tuple(b - a for a, b in zip(self.low, self.high, strict=True))
 
 
-def content_grid(df: DataFrame, axes: Sequence[str], cell: float, weight: Column | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(cells, weights) of the occupied cells. Their number is checked before they come to the driver."""
-    keys = [F.floor(F.col(a) / cell).cast("bigint").alias(a) for a in axes]
-    grid = df.groupBy(*keys).agg((F.count("*") if weight is None else F.sum(weight)).cast("double").alias("__w"))
-    if grid.count() > MAX_CELLS:
-        raise ValueError(f"over {MAX_CELLS} cells: choose a larger cell")
+def content_grid(df: DataFrame, axes: Sequence[str], cell: float, weight: Column | None = None, most: int = MAX_CELLS) -> tuple[np.ndarray, np.ndarray, float]:
+    """(cells, weights, cell width) of the occupied cells. More than ``most`` are joined on the cluster to cells twice as wide until they can come to the driver."""
+    grid = df.groupBy(*[F.floor(F.col(a) / cell).cast("bigint").alias(a) for a in axes]).agg((F.count("*") if weight is None else F.sum(weight)).cast("double").alias("__w"))
+    grid = held(grid)
+    while grid.count() > most:
+        cell *= 2
+        grid = held(grid.groupBy(*[F.floor(F.col(a) / 2).cast("bigint").alias(a) for a in axes]).agg(F.sum("__w").alias("__w")))
     rows = grid.orderBy(*axes).collect()
-    return np.array([[r[a] for a in axes] for r in rows], np.int64).reshape(-1, len(axes)), np.array([r["__w"] for r in rows])
+    return np.array([[r[a] for a in axes] for r in rows], np.int64).reshape(-1, len(axes)), np.array([r["__w"] for r in rows]), cell
 
 
 def plan(cells: np.ndarray, weights: np.ndarray, cell: float, target: float, max_leaf: float = np.inf, min_leaf: float = 0.0) -> list[Box]:

@@ -44,17 +44,13 @@ def radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def poisson_disk_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbors.min_distance_order(places(spark, sf_dir).filter("g = 0"), ["x", "y"], "id", 4).select("id", "lod")
+    return neighbors.min_distance_order(places(spark, sf_dir), ["x", "y"], "id", 4).select("id", "lod")
 
 
-EDGES = "(SELECT o_custkey AS src, o_orderkey % 1600 AS dst FROM orders WHERE o_orderkey % 12 = 0)"
+EDGES = "(SELECT o_custkey AS src, o_orderkey % (SELECT count(*) FROM customer) AS dst FROM orders)"
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").filter("o_orderkey % 12 = 0").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 1600).alias("dst"))
-
-
-def whole_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An edge for every order, its key folded over all customers."""
     customers = read(spark, sf_dir, "customer").agg(F.count("*").alias("__n"))
     joined = read(spark, sf_dir, "orders").crossJoin(F.broadcast(customers))  # one row
@@ -70,7 +66,7 @@ def edge_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.remap(edges(spark, sf_dir), nodes(spark, sf_dir)).select("src", "dst", "src_at", "dst_at")
 
 
-@query(f"SELECT c_custkey AS id, (SELECT count(*) FROM {EDGES} WHERE src = c_custkey) AS out_degree, (SELECT count(*) FROM {EDGES} WHERE dst = c_custkey) AS in_degree FROM customer")
+@query(f"WITH e AS (SELECT * FROM {EDGES}), o AS (SELECT src, count(*) AS n FROM e GROUP BY 1), i AS (SELECT dst, count(*) AS n FROM e GROUP BY 1) SELECT c_custkey AS id, coalesce(o.n, 0) AS out_degree, coalesce(i.n, 0) AS in_degree FROM customer LEFT JOIN o ON src = c_custkey LEFT JOIN i ON dst = c_custkey")
 def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degrees(nodes(spark, sf_dir), edges(spark, sf_dir))
 
@@ -102,7 +98,7 @@ def largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.communities(nodes(spark, sf_dir), graph.present(whole_edges(spark, sf_dir), nodes(spark, sf_dir)), a="src", b="dst")
+    return graph.communities(nodes(spark, sf_dir), graph.present(edges(spark, sf_dir), nodes(spark, sf_dir)), a="src", b="dst")
 
 
 @query("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1 ORDER BY n DESC, 1 LIMIT 3")
@@ -111,15 +107,16 @@ def top_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TREE = """(SELECT 'w' AS path, NULL AS parent, 'w' AS name, 'scene' AS type, NULL AS unit UNION ALL SELECT 'w/' || r_regionkey, 'w', r_name, 'group', CASE WHEN r_regionkey % 2 = 0 THEN 'um' END FROM region
-    UNION ALL SELECT 'w/' || n_regionkey || '/' || n_nationkey, 'w/' || n_regionkey, n_name, 'points', CASE WHEN n_nationkey % 7 = 0 THEN 'nm' END FROM nation WHERE n_regionkey <> 3)"""
+    UNION ALL SELECT 'w/' || n_regionkey || '/' || n_nationkey, 'w/' || n_regionkey, n_name, 'points', CASE WHEN n_nationkey % 7 = 0 THEN 'nm' END FROM nation UNION ALL SELECT 'w/empty', 'w', 'EMPTY', 'group', NULL)"""
 
 
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     null = F.lit(None).cast("string")
     top = spark.range(1).select(F.lit("w").alias("path"), null.alias("parent"), F.lit("w").alias("name"), F.lit("scene").alias("type"), null.alias("unit"))
     r = read(spark, sf_dir, "region").select(F.concat(F.lit("w/"), "r_regionkey").alias("path"), F.lit("w").alias("parent"), F.col("r_name").alias("name"), F.lit("group").alias("type"), F.when(F.col("r_regionkey") % 2 == 0, "um").alias("unit"))
-    n = read(spark, sf_dir, "nation").filter("n_regionkey <> 3").select(F.concat(F.lit("w/"), "n_regionkey", F.lit("/"), "n_nationkey").alias("path"), F.concat(F.lit("w/"), "n_regionkey").alias("parent"), F.col("n_name").alias("name"), F.lit("points").alias("type"), F.when(F.col("n_nationkey") % 7 == 0, "nm").alias("unit"))
-    return top.unionByName(r).unionByName(n)
+    empty = spark.range(1).select(F.lit("w/empty").alias("path"), F.lit("w").alias("parent"), F.lit("EMPTY").alias("name"), F.lit("group").alias("type"), null.alias("unit"))
+    n = read(spark, sf_dir, "nation").select(F.concat(F.lit("w/"), "n_regionkey", F.lit("/"), "n_nationkey").alias("path"), F.concat(F.lit("w/"), "n_regionkey").alias("parent"), F.col("n_name").alias("name"), F.lit("points").alias("type"), F.when(F.col("n_nationkey") % 7 == 0, "nm").alias("unit"))
+    return top.unionByName(r).unionByName(n).unionByName(empty)
 
 
 _UP = f"RECURSIVE up AS (SELECT path, path AS ancestor, 0 AS distance FROM {_TREE} UNION ALL SELECT up.path, t.parent, distance + 1 FROM up JOIN {_TREE} t ON up.ancestor = t.path WHERE t.parent IS NOT NULL)"
@@ -141,11 +138,11 @@ def prune_empty_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_UP}, b AS (SELECT 'w/' || n_regionkey || '/' || n_nationkey AS path, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 3 GROUP BY 1)
+    f"""WITH {_UP}, b AS (SELECT 'w/' || n_regionkey || '/' || n_nationkey AS path, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
     SELECT ancestor AS path, min(lo) AS lo_bal, max(hi) AS hi_bal FROM b JOIN up USING (path) GROUP BY 1"""
 )
 def bounds_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation").filter("n_regionkey <> 3"), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     b = c.groupBy(F.concat(F.lit("w/"), "n_regionkey", F.lit("/"), "n_nationkey").alias("path")).agg(F.min("c_acctbal").alias("lo_bal"), F.max("c_acctbal").alias("hi_bal"))
     return graph.roll_up_bounds(tree(spark, sf_dir), b, ["bal"])
 
@@ -161,11 +158,11 @@ def merkle_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.merkle(tree(spark, sf_dir), "unit")
 
 
-@query("SELECT type, count(*) AS n FROM (SELECT 'scene' AS type UNION ALL SELECT 'group' FROM region UNION ALL SELECT 'points' FROM nation WHERE n_regionkey <> 3) GROUP BY 1")
+@query("SELECT type, count(*) AS n FROM (SELECT 'scene' AS type UNION ALL SELECT 'group' FROM region UNION ALL SELECT 'group' UNION ALL SELECT 'points' FROM nation) GROUP BY 1")
 def node_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT user_id, arg_max(event_id, ts) AS event_id FROM events GROUP BY 1")
+@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def latest_request(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.latest(read(spark, sf_dir, "events"), "user_id", "ts").select("user_id", "event_id")
+    return graph.latest(read(spark, sf_dir, "events"), "user_id", "ts", ["event_id"]).select("user_id", "event_id")

@@ -42,7 +42,8 @@ def slice_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def slice_effective_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     radius = 0.02 + 0.001 * F.col("l_quantity")
-    cut = slicing.slice_spheres(read(spark, sf_dir, "lineitem").select(*COLUMNS), line_view(), radius)
+    lines = read(spark, sf_dir, "lineitem").select(*COLUMNS)
+    cut = slicing.slice_spheres(lines, line_view(), radius, max_radius=0.02 + 0.001 * 50)  # quantities go up to 50
     return cut.withColumn("radius", F.round("radius", 9))
 
 
@@ -53,7 +54,9 @@ def slice_effective_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def slice_splats(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem")
-    out = slicing.slice_splats(lines, line_view(), "l_extendedprice", {"l_tax": 0.005 + 0.0001 * F.col("l_quantity")})
+    sigma = 0.005 + 0.0001 * F.col("l_quantity")
+    most = lines.agg(F.max("l_extendedprice").alias("amp"), F.max(sigma).alias("sigma")).first()
+    out = slicing.slice_splats(lines, line_view(), "l_extendedprice", {"l_tax": sigma}, most["amp"], {"l_tax": most["sigma"] or 0.0})
     return out.select("l_orderkey", F.round("sliced_amplitude", 6).alias("sliced_amplitude"))
 
 
@@ -194,9 +197,9 @@ def partition_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slicing.parts_on_slice(parts, view).select("l_orderkey", F.col("lo_l_linenumber").alias("lo_day"))
 
 
-@query("SELECT s_suppkey, upper(printf('#%02X%02X%02X', s_suppkey % 256, (s_suppkey * 7) % 256, (s_suppkey * 13) % 256)) AS hex, round(pow(((s_suppkey % 256) / 255.0e0 + 0.055e0) / 1.055e0, 2.4e0), 9) AS linear FROM supplier WHERE s_suppkey % 256 > 20")
+@query("SELECT s_suppkey, upper(printf('#%02X%02X%02X', s_suppkey % 256, (s_suppkey * 7) % 256, (s_suppkey * 13) % 256)) AS hex, round(CASE WHEN (s_suppkey % 256) / 255.0e0 <= 0.04045e0 THEN (s_suppkey % 256) / 255.0e0 / 12.92e0 ELSE pow(((s_suppkey % 256) / 255.0e0 + 0.055e0) / 1.055e0, 2.4e0) END, 9) AS linear FROM supplier")
 def hex_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = read(spark, sf_dir, "supplier").filter("s_suppkey % 256 > 20")
+    s = read(spark, sf_dir, "supplier")
     channels = [((F.col("s_suppkey") * m) % 256) / 255.0 for m in (1, 7, 13)]
     linear = [scalar.srgb_to_linear(c) for c in channels]
     text = scalar.rgb_to_hex(*linear)

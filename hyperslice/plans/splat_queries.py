@@ -177,14 +177,10 @@ def restride_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combine.restride(e, "hour", 3)
 
 
-_CUTS = lod.stream_cuts(15000, 1000)
-_LEVEL = "CASE " + " ".join(f"WHEN r <= {c} THEN {i}" for i, c in enumerate(_CUTS)) + f" ELSE {len(_CUTS) - 1} END"
-
-
-@query(f"WITH r AS (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders), l AS (SELECT {_LEVEL} AS lod, count(*) AS n, sum(o_totalprice) AS e FROM r GROUP BY 1) SELECT lod, n, round(sum(e) OVER (ORDER BY lod) / sum(e) OVER (), 9) AS energy FROM l")
+@query("WITH c AS (SELECT (1000 * power(2, i))::BIGINT AS c FROM (SELECT unnest(range(0, 40)) AS i), (SELECT count(*) AS n FROM orders) WHERE 1000 * power(2, i) < n AND n - 1000 * power(2, i) >= 500), r AS (SELECT o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders), l AS (SELECT (SELECT count(*) FROM c WHERE c < r)::INT AS lod, count(*) AS n, sum(o_totalprice) AS e FROM r GROUP BY 1) SELECT lod, n, round(sum(e) OVER (ORDER BY lod) / sum(e) OVER (), 9) AS energy FROM l")
 def lod_prefix_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
-    levels = lod.with_levels(o, [F.desc("o_totalprice"), F.col("o_orderkey")], _CUTS)
+    levels = lod.with_levels(o, [F.desc("o_totalprice"), F.col("o_orderkey")], lod.stream_cuts(o.count(), 1000))
     return lod.level_energy(levels, "lod", F.col("o_totalprice")).withColumn("energy", F.round("energy", 9))
 
 
@@ -243,14 +239,14 @@ def barrier_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infer.barrier_axes(read(spark, sf_dir, "lineitem"), ["l_linenumber", "l_tax", "l_quantity", "l_orderkey"])
 
 
-@query("WITH d AS (SELECT DISTINCT p_brand, p_size AS v FROM part WHERE p_size % 6 = 0), g AS (SELECT p_brand, v - lag(v) OVER (PARTITION BY p_brand ORDER BY v) AS gap FROM d) SELECT p_brand, coalesce(list_reduce(list(gap) FILTER (gap IS NOT NULL), lambda x, y: gcd(x, y)), 1)::DOUBLE AS step FROM g GROUP BY p_brand")
+@query("WITH d AS (SELECT DISTINCT p_brand, 6 * p_size + 3 AS v FROM part), g AS (SELECT p_brand, v - lag(v) OVER (PARTITION BY p_brand ORDER BY v) AS gap FROM d) SELECT p_brand, coalesce(list_reduce(list(gap) FILTER (gap IS NOT NULL), lambda x, y: gcd(x, y)), 1)::DOUBLE AS step FROM g GROUP BY p_brand")
 def discrete_step_gcd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return infer.discrete_step(read(spark, sf_dir, "part").filter("p_size % 6 = 0"), "p_size", ["p_brand"])
+    return infer.discrete_step(read(spark, sf_dir, "part").withColumn("at", 6 * F.col("p_size") + 3), "at", ["p_brand"])
 
 
-@query("WITH s AS (SELECT DISTINCT c_mktsegment, c_nationkey FROM customer WHERE c_custkey % 31 = 0), z AS (SELECT c_mktsegment AS m FROM s GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT a.c_mktsegment, b.c_nationkey FROM (SELECT DISTINCT c_mktsegment FROM s) a, (SELECT c_nationkey FROM s, z WHERE c_mktsegment = m) b EXCEPT SELECT c_mktsegment, c_nationkey FROM s")
+@query("WITH s AS (SELECT DISTINCT c_mktsegment, floor(c_acctbal / 10)::BIGINT AS balance FROM customer), z AS (SELECT c_mktsegment AS m FROM s GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT a.c_mktsegment, b.balance FROM (SELECT DISTINCT c_mktsegment FROM s) a, (SELECT balance FROM s, z WHERE c_mktsegment = m) b EXCEPT SELECT c_mktsegment, balance FROM s")
 def coverage_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return infer.missing_values(read(spark, sf_dir, "customer").filter("c_custkey % 31 = 0"), "c_mktsegment", "c_nationkey")
+    return infer.missing_values(read(spark, sf_dir, "customer").withColumn("balance", F.floor(F.col("c_acctbal") / 10)), "c_mktsegment", "balance")
 
 
 @query("SELECT 'x' AS axis, min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem UNION ALL SELECT 'y', min(l_tax) + 0.0e0, max(l_tax) FROM lineitem UNION ALL SELECT 'one', 1.0e0, 2.0e0")

@@ -15,23 +15,23 @@ def write_points(df: DataFrame, path: str, barriers: Sequence[str], spatial: Seq
     """A table in spatial order (barrier axes first) under ``path``/rows, and its chunk bounds under ``path``/chunks.
 
     Null labels become empty strings. Rows are range-partitioned by their order, so a
-    file holds whole runs of chunks and its statistics skip what a slice doesn't touch.
+    file holds whole runs of chunks, and a page holds at most a chunk's rows: statistics of
+    files, row groups and pages skip what a slice doesn't touch.
     """
     for c in labels:
         df = df.withColumn(c, F.coalesce(c, F.lit("")))
     placed = ordering.held(ordering.spatial_order(df, barriers, spatial, ties).withColumn("chunk", F.floor(F.col("ord") / chunk_size).cast("bigint")))
-    writer = placed.repartitionByRange("ord").sortWithinPartitions("ord").write.option("compression", compression)
+    writer = placed.repartitionByRange("ord").sortWithinPartitions("ord").write.option("compression", compression).option("parquet.page.row.count.limit", chunk_size)
     (writer.partitionBy(lod) if lod else writer).parquet(f"{path}/rows")
-    chunks.chunk_bounds(placed, chunk_size, spatial, barriers, radius).coalesce(1).write.parquet(f"{path}/chunks")
+    chunks.chunk_bounds(placed, chunk_size, spatial, barriers, radius).repartitionByRange("chunk").sortWithinPartitions("chunk").write.parquet(f"{path}/chunks")
 
 
 def read_points(spark: SparkSession, path: str, view: View | None = None, max_radius: float = 0.0) -> DataFrame:
-    """All rows, or those of the chunks that a view touches."""
+    """All rows, or those of the chunks that a view touches: the index gives bounds that reach the scan, so other row groups aren't read."""
     rows = spark.read.parquet(f"{path}/rows")
     if view is None:
         return rows
-    wanted = chunks.prune(spark.read.parquet(f"{path}/chunks"), view, max_radius).select("chunk")
-    return rows.join(wanted, "chunk", "left_semi")
+    return chunks.within_chunks(rows, chunks.prune(spark.read.parquet(f"{path}/chunks"), view, max_radius), "chunk")
 
 
 def summary(spark: SparkSession, path: str) -> dict:

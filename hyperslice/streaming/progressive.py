@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 
@@ -15,10 +14,26 @@ def write_ladder(df: DataFrame, path: str, lod: str = "lod") -> None:
     df.write.partitionBy(lod).parquet(path)
 
 
-def refine(spark: SparkSession, path: str, schema: StructType, on_level: Callable[[DataFrame, int], None], checkpoint: str, lod: str = "lod") -> StreamingQuery:
-    """Levels of a ladder one micro-batch after another, coarse first as the files are dated. A batch is published whole or not at all, and a restart resumes after the last published one."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return stream.writeStream.foreachBatch(on_level).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def refine(spark: SparkSession, path: str, schema: StructType, on_level: Callable[[DataFrame, int], None], checkpoint: str, lod: str = "lod") -> list[int]:
+    """Levels of a ladder one after another, the coarsest first: each level's folder is one micro-batch of a stream of its own, whatever files it has.
+
+    ``on_level`` gets a level's rows (of ``schema``, with the column ``lod``) and its number. A batch is published
+    whole or not at all; a restart goes on after the last published level. Returns the
+    levels published by this call. A level without a folder is none.
+    """
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(fs_path) if s.isDirectory()]
+    published = []
+    for level in sorted(int(n.split("=", 1)[1]) for n in names if n.startswith(f"{lod}=")):
+        stream = spark.readStream.schema(schema).parquet(f"{path}/{lod}={level}").withColumn(lod, F.lit(level))
+
+        def batch(df: DataFrame, _: int, level: int = level) -> None:
+            on_level(df, level)
+            published.append(level)
+
+        stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoint}/{level}").trigger(availableNow=True).start().awaitTermination()
+    return published
 
 
 def latest_views(requests: DataFrame, by: str, at: str) -> DataFrame:

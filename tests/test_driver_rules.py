@@ -159,7 +159,8 @@ def test_mesh(spark):
 
 def test_partition(spark):
     df = spark.range(1000).select(((F.col("id") * 37) % 100).cast("double").alias("x"), ((F.col("id") * 53) % 90).cast("double").alias("y"))
-    boxes = partition.plan(*partition.content_grid(df, ["x", "y"], 5.0), 5.0, target=150)
+    cells, weights, cell = partition.content_grid(df, ["x", "y"], 5.0)
+    boxes = partition.plan(cells, weights, cell, target=150)
     counts = partition.assign(df, boxes, ["x", "y"]).groupBy("part").count().collect()
     assert sum(r["count"] for r in counts) == 1000 and all(r.part is not None and r["count"] <= 150 for r in counts)
     assert partition.overlap_fraction([], 2) == (0.0, 0.0)

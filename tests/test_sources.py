@@ -10,6 +10,14 @@ from hyperslice.sources import files, tables
 from hyperslice.streaming import progressive
 
 
+def scanned(df):
+    """Rows that the scan of a plan without shuffles gives to the filter behind it."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().get("numOutputRows").get().value() for i in range(leaves.size()))
+
+
 def test_points_round_trip(spark, tmp_path):
     df = spark.range(1000).select("id", (F.col("id") % 4).cast("double").alias("t"), (F.col("id") * 7 % 101).cast("double").alias("x"), (F.col("id") * 3 % 97).cast("double").alias("y"), F.lit(None).cast("string").alias("label"))
     path = str(tmp_path / "points")
@@ -19,6 +27,14 @@ def test_points_round_trip(spark, tmp_path):
     part = tables.read_points(spark, path, view)
     assert part.filter("t = 2").count() == 250 and part.count() < 400
     assert tables.read_points(spark, path).filter("label = ''").count() == 1000
+    assert scanned(part) == part.count()  # the scan itself read no other chunk
+    wanted = spark.createDataFrame([(c,) for c in range(0, 20, 2)], "chunk long")
+    rows = tables.read_points(spark, path)
+    for most in (512, 3):  # all runs as bounds, or parts with gaps and a semi join
+        found = chunks.within_chunks(rows, wanted, "chunk", most=most)
+        assert {r.chunk for r in found.collect()} == set(range(0, 20, 2)) and found.count() == 500
+        assert {r.ord for r in chunks.within_chunks(rows, wanted, "ord", 50, most).collect()} == {i for i in range(1000) if i // 50 % 2 == 0}
+    assert chunks.within_chunks(rows, wanted.filter("false"), "chunk").count() == 0
     assert tables.row_range(tables.read_points(spark, path), 10, 20).count() == 10
     tables.compact(spark, f"{path}/rows", str(tmp_path / "packed"))
     assert spark.read.parquet(str(tmp_path / "packed")).count() == 1000
@@ -65,13 +81,18 @@ def test_volume_files(spark, tmp_path):
 
 def test_progressive_ladder(spark, tmp_path):
     df = spark.range(100).select("id", (F.col("id") % 7).alias("v"))
-    ladder = lod.with_levels(df, [F.desc("v"), F.col("id")], [10, 30, 100]).select("id", "v", "lod")
+    ladder = lod.with_levels(df, [F.desc("v"), F.col("id")], [10, 30, 100]).select("id", "v", "lod").repartition(4)
     progressive.write_ladder(ladder, str(tmp_path / "ladder"))
+    schema = spark.read.parquet(str(tmp_path / "ladder")).drop("lod").schema
     seen = []
-    schema = spark.read.parquet(str(tmp_path / "ladder")).schema
-    q = progressive.refine(spark, str(tmp_path / "ladder"), schema, lambda d, n: seen.append(d.count()), str(tmp_path / "state"))
-    assert q.awaitTermination(120)
-    assert sum(seen) == 100
+
+    def on_level(d, n):
+        seen.append((n, d.count(), {r.lod for r in d.select("lod").distinct().collect()}))
+
+    run = lambda: progressive.refine(spark, str(tmp_path / "ladder"), schema, on_level, str(tmp_path / "state"))
+    assert len(list((tmp_path / "ladder" / "lod=2").glob("*.parquet"))) > 1  # a level of several files is one batch all the same
+    assert run() == [0, 1, 2] and seen == [(0, 10, {0}), (1, 20, {1}), (2, 70, {2})]
+    assert run() == [] and len(seen) == 3
     assert progressive.admitted_levels([10, 20, 70], 10, 3) == 2 and progressive.admitted_levels([99], 1, 1) == 1
     assert progressive.stop_after(0, 3, 10, 5) and not progressive.stop_after(0, 3, 1, None)
 
