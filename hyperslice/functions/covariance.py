@@ -163,3 +163,85 @@ def from_quaternion(w: Column, x: Column, y: Column, z: Column, scales: Sequence
     l21 = (s[2][1] - l20 * l10) / l11
     l22 = F.sqrt(F.greatest(s[2][2] - l20 * l20 - l21 * l21, F.lit(0.0)))
     return F.array(l00, l10, l11, l20, l21, l22)
+
+
+def unpack_symmetric(packed: np.ndarray) -> np.ndarray:
+    """Rows of lower triangles to symmetric matrices."""
+    lower = unpack(packed)
+    return lower + lower.transpose(0, 2, 1) - np.einsum("nii->ni", lower)[:, :, None] * np.eye(lower.shape[1])
+
+
+def sigma_elements(chol: Column, dims: int) -> list[Column]:
+    """The lower triangle of Sigma, by rows, from a packed factor: native expressions."""
+    at = lambda i, j: chol[i * (i + 1) // 2 + j]
+    return [reduce(lambda a, b: a + b, [at(i, k) * at(j, k) for k in range(j + 1)]) for i in range(dims) for j in range(i + 1)]
+
+
+def factor_of(sigma: Column) -> Column:
+    """The packed factor of a covariance's lower triangle."""
+    return _udf(lambda packed: pack(_factor(unpack_symmetric(packed))), sigma)
+
+
+def precision_of(chol: Column) -> Column:
+    """The lower triangle of the inverse covariance; a singular one is regularised as its factor is."""
+
+    def work(packed: np.ndarray) -> np.ndarray:
+        lower = unpack(packed)
+        sigma = lower @ lower.transpose(0, 2, 1)
+        factor = _factor(sigma)
+        inverse = np.linalg.inv(factor)
+        return pack(inverse.transpose(0, 2, 1) @ inverse)
+
+    return _udf(work, chol)
+
+
+def conditional(center: Column, chol: Column, shown: Sequence[int], hidden: Sequence[int], at: Sequence[float]) -> Column:
+    """A struct (center, chol, weight): the splat cut where its hidden axes have the values ``at``.
+
+    The conditional mean and covariance of the shown axes, and what the Gaussian of the
+    hidden ones leaves of the amplitude. Hidden axes without variance gate: weight 1 on the
+    value, 0 beside it.
+    """
+    from pyspark.sql.types import StructField, StructType
+
+    s, h, values = list(shown), list(hidden), np.array(at, float)
+    result = StructType([StructField("center", ArrayType(DoubleType())), StructField("chol", ArrayType(DoubleType())), StructField("weight", DoubleType())])
+
+    @F.pandas_udf(result)
+    def run(centers: pd.Series, factors: pd.Series) -> pd.DataFrame:
+        if not len(centers):
+            return pd.DataFrame({"center": [], "chol": [], "weight": []})
+        mu, lower = np.stack(centers.to_numpy()), unpack(np.stack(factors.to_numpy()))
+        sigma = lower @ lower.transpose(0, 2, 1)
+        gap = values - mu[:, h]
+        hh = sigma[np.ix_(range(len(mu)), h, h)]
+        inverse = np.linalg.pinv(hh, hermitian=True)
+        sh = sigma[np.ix_(range(len(mu)), s, h)]
+        gain = sh @ inverse
+        center = mu[:, s] + (gain @ gap[:, :, None])[:, :, 0]
+        rest = sigma[np.ix_(range(len(mu)), s, s)] - gain @ sh.transpose(0, 2, 1)
+        d2 = np.einsum("ni,nij,nj->n", gap, inverse, gap)
+        flat = np.einsum("nii->ni", hh) <= LEAST_SIGMA**2
+        weight = np.where((flat & (np.abs(gap) > 1e-9)).any(1), 0.0, np.exp(-d2 / 2))
+        return pd.DataFrame({"center": list(center), "chol": list(pack(_factor(rest))), "weight": weight})
+
+    return run(center, chol)
+
+
+def packed_pair_kernel(a: Column, mu: Column, chol_a: Column, b: Column, nu: Column, chol_b: Column) -> Column:
+    """The inner product of two splats of full covariance; 0 where one has no volume."""
+
+    @F.pandas_udf(DoubleType())
+    def run(x: pd.Series, m: pd.Series, p: pd.Series, y: pd.Series, n: pd.Series, q: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=float)
+        lp, lq = unpack(np.stack(p.to_numpy())), unpack(np.stack(q.to_numpy()))
+        gap = np.stack(m.to_numpy()) - np.stack(n.to_numpy())
+        total = lp @ lp.transpose(0, 2, 1) + lq @ lq.transpose(0, 2, 1)
+        root = np.abs(np.einsum("nii->ni", lp).prod(1) * np.einsum("nii->ni", lq).prod(1))
+        det = np.maximum(np.linalg.det(total), 1e-300)
+        d2 = np.einsum("ni,ni->n", gap, np.linalg.solve(total + np.eye(total.shape[1]) * 1e-300, gap[:, :, None])[:, :, 0])
+        value = x * y * (2 * np.pi) ** (gap.shape[1] / 2) * root / np.sqrt(det) * np.exp(-d2 / 2)
+        return pd.Series(np.where(root > 0, value, 0.0), index=x.index)
+
+    return run(a, mu, chol_a, b, nu, chol_b)
