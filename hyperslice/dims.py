@@ -293,3 +293,18 @@ def check_version(found: tuple[int, int], supported: Sequence[tuple[int, int]])
     if any(found[0] == a and found[1] > b for a, b in supported):
         return "newer"
     raise ValueError(f"version {found} is not supported")
+
+
+def extrapolated(previous: View, current: View) -> View:
+    """The view that comes next if hidden axes go on as they went: current + (current - previous), held in the axis' range."""
+    position = dict(current.position)
+    for d in current.hidden():
+        at = 2 * current.at(d) - previous.at(d)
+        at = at if d.low is None else max(at, d.low)
+        position[d.name] = at if d.high is None else min(at, d.high)
+    return View(current.dims, position, dict(current.tolerance), current.extend)
+
+
+def is_plain_3d(ndim: int, shown: Sequence[int]) -> bool:
+    """Whether a projection changes nothing: three axes, all shown, in their order."""
+    return ndim == 3 and list(shown) == [0, 1, 2]

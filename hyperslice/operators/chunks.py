@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..dims import View
+from ..dims import View, extrapolated
 from .ordering import held, sized
 from .slicing import every
 
@@ -114,3 +114,11 @@ def within_chunks(df: DataFrame, wanted: DataFrame, column: str, width: int = 1,
 def read_slice(df: DataFrame, chunks: DataFrame, view: View, chunk_size: int, max_radius: float = 0.0, ord_: str = "ord") -> DataFrame:
     """Rows of the chunks that the view touches: the index prunes, bounds on the rows' order reach the scan."""
     return within_chunks(df, prune(chunks, view, max_radius), ord_, chunk_size)
+
+
+def prefetch(chunks: DataFrame, current: View, previous: View | None, max_radius: float = 0.0) -> DataFrame:
+    """Chunks that the next view touches and the current one doesn't, when the slice goes on as it went."""
+    if previous is None:
+        return chunks.limit(0)
+    here = prune(chunks, current, max_radius).select("chunk")
+    return prune(chunks, extrapolated(previous, current), max_radius).join(here, "chunk", "left_anti")

@@ -112,3 +112,14 @@ def restride(df: DataFrame, axis: str, stride: int) -> DataFrame:
         raise ValueError(f"no frames on the lattice: {state}")
     kept = df.filter(F.pmod(at, F.lit(float(stride))) == 0)
     return kept.withColumn(axis, (F.rint(F.col(axis)) / stride).cast("bigint"))
+
+
+def require_channel(levels: Sequence[DataFrame], channel: str, key: str) -> None:
+    """Raise, before anything is written, where some levels carry a channel and others don't, or a level's channel has another length than its rows."""
+    have = [channel in d.columns for d in levels]
+    if any(have) and not all(have):
+        raise ValueError(f"levels {[i for i, h in enumerate(have) if not h]} lack the channel {channel}")
+    for i, d in enumerate(levels if any(have) else []):
+        row = d.agg(F.count(key).alias("rows"), F.count(channel).alias("values")).first()
+        if row["rows"] != row["values"]:
+            raise ValueError(f"level {i}: {row['values']} values of {channel} for {row['rows']} rows")

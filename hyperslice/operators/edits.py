@@ -91,3 +91,8 @@ def with_labels(df: DataFrame, vocabulary: Sequence[str], label: str, out: str =
 
 def label_names(df: DataFrame, vocabulary: Sequence[str], label_id: str = "label_id", out: str = "label") -> DataFrame:
     return df.withColumn(out, F.get(F.array(*[F.lit(v) for v in vocabulary]), F.col(label_id)))
+
+
+def without_labels(df: DataFrame, label_id: str = "label_id", label: str = "label") -> DataFrame:
+    """Rows of all levels without the categorical channel; nothing to drop is no error."""
+    return df.drop(label_id, label)

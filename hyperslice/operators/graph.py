@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ordering import held, join_hot, ranked
@@ -198,3 +198,94 @@ def latest(requests: DataFrame, by: str, at: str, ties: Sequence[str] = ()) -> D
     """The newest row for each key; of equally new ones that of the greatest ``ties``. Combines before the shuffle."""
     whole = F.struct(*[F.col(c) for c in requests.columns])
     return requests.groupBy(F.col(by).alias("__by")).agg(F.max_by(whole, F.struct(at, *ties)).alias("r")).select("r.*")
+
+
+#: Kinds of nodes that a group of levels or of parts can hold.
+LEVELLED = ("points", "splats", "lines", "mesh")
+
+
+def require_levelled(kind: str) -> None:
+    if kind not in LEVELLED:
+        raise ValueError(f"{kind!r} has no levels of detail: one of {LEVELLED} does")
+
+
+def lod_group(spark: SparkSession, path: str, parent: str | None, kind: str, levels: int, default_level: int = 0, selector: str = "screen_size") -> DataFrame:
+    """Node rows (path, parent, name, type, kind, attributes) of a group of levels: the wrapper and a child for each level."""
+    require_levelled(kind)
+    if not 0 <= default_level < levels:
+        raise ValueError(f"default level {default_level} of {levels}")
+    return _group(spark, path, parent, "lod", kind, [f"level{i}" for i in range(levels)], {"selector": selector, "default_level": str(default_level)})
+
+
+def partition_group(spark: SparkSession, path: str, parent: str | None, kind: str, parts: int, max_elements: int) -> DataFrame:
+    """Node rows of a group of parts of at most ``max_elements``: the wrapper and a child for each part."""
+    require_levelled(kind)
+    if parts < 1 or max_elements < 1:
+        raise ValueError("a partition has a part and a limit")
+    return _group(spark, path, parent, "partition", kind, [f"part{i}" for i in range(parts)], {"display_type": kind, "max_elements": str(max_elements)})
+
+
+def _group(spark: SparkSession, path: str, parent: str | None, group: str, kind: str, children: list[str], attributes: dict[str, str]) -> DataFrame:
+    rows = [(path, parent, path.rsplit("/", 1)[-1], "group", group, attributes)] + [(f"{path}/{c}", path, c, kind, None, {}) for c in children]
+    return spark.createDataFrame(rows, "path string, parent string, name string, type string, kind string, attributes map<string,string>")
+
+
+def roll_up_types(tree: DataFrame, node: str = "path", parent: str = "parent", type_: str = "type") -> DataFrame:
+    """(node, display_type): the one type of the leaves below each group, null where they differ or there are none."""
+    up = ancestors(tree, node, parent).filter("distance > 0")
+    leaves = tree.filter(~F.col(type_).isin("group", "scene")).select(node, type_)
+    below = up.join(leaves, node).groupBy(F.col("ancestor").alias(node)).agg(F.min(type_).alias("a"), F.max(type_).alias("z"))
+    groups = tree.filter(F.col(type_).isin("group", "scene")).select(node)
+    return groups.join(below, node, "left").select(node, F.when(F.col("a") == F.col("z"), F.col("a")).alias("display_type"))
+
+
+def modularity(labels: DataFrame, links: DataFrame) -> float:
+    """Of communities (n, c) on symmetric links (a, b, w), each direction a row; 0 without links."""
+    ends = links.join(labels.select(F.col("n").alias("a"), F.col("c").alias("ca")), "a").join(labels.select(F.col("n").alias("b"), F.col("c").alias("cb")), "b")
+    sums = ends.groupBy(F.col("ca").alias("c")).agg(F.sum("w").alias("tot"), F.sum(F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0.0)).alias("inside"))
+    row = sums.agg(F.sum("tot").alias("m2"), F.sum("inside").alias("i"), F.sum(F.col("tot") * F.col("tot")).alias("t2")).first()
+    return row["i"] / row["m2"] - row["t2"] / row["m2"] ** 2 if row["m2"] else 0.0
+
+
+def louvain(nodes: DataFrame, edges: DataFrame, node: str = "id", a: str = "a", b: str = "b", least: float = 1e-6) -> DataFrame:
+    """(node, community, size) by modularity: nodes move to the neighbouring community of the greatest gain until no round gains, then communities become nodes, and so on.
+
+    In a round all nodes look at the same communities, but only half of them (by hash and
+    round) move, which keeps pairs from changing places; a round that doesn't gain
+    ``least`` is undone and the other half tried, and two such rounds end a level. The number of rounds follows from the
+    gains, which are at least that large, so it ends. Ties go to the least community;
+    communities are numbered by falling size. Parallel edges weigh more, loops stay inside.
+    """
+    both = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).unionByName(edges.select(F.col(b).alias("a"), F.col(a).alias("b")))
+    links = held(both.groupBy("a", "b").agg(F.count("*").cast("double").alias("w")))
+    own = held(nodes.select(F.col(node).alias("n")).distinct().withColumn("c", F.col("n")))
+    total = links.agg(F.sum("w")).first()[0]
+    while total:
+        level = held(links.select(F.col("a").alias("n")).unionByName(links.select(F.col("b").alias("n"))).distinct().withColumn("c", F.col("n")))
+        degree = held(links.groupBy(F.col("a").alias("n")).agg(F.sum("w").alias("k")))
+        best, poor, turn, moved = modularity(level, links), 0, 0, False
+        while poor < 2:
+            sums = level.join(degree, "n").groupBy("c").agg(F.sum("k").alias("tot"))
+            to = links.filter("a <> b").join(level.select(F.col("n").alias("b"), "c"), "b").groupBy(F.col("a").alias("n"), "c").agg(F.sum("w").alias("w"))
+            at = level.join(degree, "n").withColumnRenamed("c", "c0")
+            options = to.join(at, "n").join(sums, "c")
+            gain = F.col("w") - F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("c0"), F.col("k")).otherwise(0.0)) / total
+            chosen = options.withColumn("g", gain).groupBy("n", "c0").agg(F.min(F.struct((-F.col("g")).alias("g"), "c")).alias("best"), F.max(F.when(F.col("c") == F.col("c0"), F.col("g"))).alias("stay"))
+            alone = sums.withColumnRenamed("c", "c0")
+            stay = F.coalesce("stay", -F.col("k") * (F.col("tot") - F.col("k")) / total)
+            better = chosen.join(degree, "n").join(alone, "c0").filter(-F.col("best.g") > stay + 1e-12).filter(F.pmod(F.xxhash64("n"), F.lit(2)) == turn % 2)
+            tried = held(level.join(better.select("n", F.col("best.c").alias("to")), "n", "left").select("n", F.coalesce("to", "c").alias("c")))
+            now = modularity(tried, links)
+            turn += 1
+            if now > best + least:
+                level, best, poor, moved = tried, now, 0, True
+            else:
+                poor += 1
+        if not moved:
+            break
+        own = held(own.join(level.select(F.col("n").alias("c"), F.col("c").alias("to")), "c", "left").select("n", F.coalesce("to", "c").alias("c")))
+        renamed = links.join(level.select(F.col("n").alias("a"), F.col("c").alias("ca")), "a").join(level.select(F.col("n").alias("b"), F.col("c").alias("cb")), "b")
+        links = held(renamed.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
+    sizes = own.groupBy("c").agg(F.count("*").alias("size"))
+    number = ranked(sizes, [F.desc("size"), F.col("c")], "__r").select("c", (F.col("__r") - 1).alias("community"), "size")
+    return own.join(number, "c").select(F.col("n").alias(node), "community", "size")

@@ -155,3 +155,86 @@ def refine_bins(df: DataFrame, bin_: str, axes: Sequence[str], sigmas: Sequence[
         best = joined.groupBy(key).agg(F.min(F.struct(distance.alias("d"), F.col("__b").alias("b"))).alias("__best"))
         df = held(df.join(best, key, "left").withColumn(bin_, F.coalesce("__best.b", bin_)).drop("__best"))
     return df
+
+
+METHODS = ("amplitude", "mass", "self_energy", "random", "radial", "spectral", "greedy")
+
+
+def ranking(df: DataFrame, method: str, axes: Sequence[str], sigmas: Sequence[str], amplitude: str, key: str, seed: int = 42) -> tuple[DataFrame, list[Column]]:
+    """(``df``, maybe with columns to order by, and the order) of a method, ties by ``key``.
+
+    amplitude, mass and self_energy: the greatest first. random: by hash. radial: from the
+    centroid by mass outwards. spectral: the widest first, which have the lowest
+    frequencies; among equally wide ones (by octaves) the most energy. greedy: the most
+    energy that no row nearby has shown yet: cells of grids twice as fine each time give
+    their best row in turn, so each step covers what is least covered.
+    """
+    amp, widths = F.col(amplitude), [F.col(s) for s in sigmas]
+    energy = covariance.self_energy(amp, widths)
+    if method == "amplitude":
+        return df, [amp.desc(), F.col(key)]
+    if method == "mass":
+        return df, [covariance.mass(amp, widths).desc(), F.col(key)]
+    if method == "self_energy":
+        return df, [energy.desc(), F.col(key)]
+    if method == "random":
+        return df, [F.xxhash64(F.lit(seed), key), F.col(key)]
+    if method == "radial":
+        mass = covariance.mass(amp, widths)
+        middle = df.agg(*[F.coalesce(F.sum(mass * F.col(a)) / F.nullif(F.sum(mass), F.lit(0.0)), F.avg(a)).alias(f"__m_{a}") for a in axes])
+        far = sum(((F.col(a) - F.col(f"__m_{a}")) * (F.col(a) - F.col(f"__m_{a}")) for a in axes), F.lit(0.0))
+        placed = df.crossJoin(F.broadcast(middle)).withColumn("__far", far).drop(*[f"__m_{a}" for a in axes])  # one row
+        return placed, [F.col("__far"), F.col(key)]
+    if method == "spectral":
+        return df, [F.floor(F.log2(covariance.geometric_mean(widths))).desc(), energy.desc(), F.col(key)]
+    if method == "greedy":
+        marked = df.withColumn("__e", energy)
+        ranges = F.broadcast(marked.agg(*[f(a).alias(f"__{n}_{a}") for a in axes for f, n in ((F.min, "lo"), (F.max, "hi"))]))  # one row
+        left, done = marked.crossJoin(ranges), []
+        for i in range(1, GREEDY_GRIDS + 1):
+            cells = [F.coalesce(F.least(F.floor((F.col(a) - F.col(f"__lo_{a}")) / F.nullif(F.col(f"__hi_{a}") - F.col(f"__lo_{a}"), F.lit(0.0)) * 2**i), F.lit(2**i - 1)), F.lit(0)).alias(f"__c{j}") for j, a in enumerate(axes)]
+            best = sized(held(left.groupBy(*cells).agg(F.max_by(key, F.struct("__e", key)).alias(key)).select(key)))
+            done.append(left.join(best, key, "left_semi").withColumn("__turn", F.lit(i)))
+            left = held(left.join(best, key, "left_anti"))
+        every = left.withColumn("__turn", F.lit(GREEDY_GRIDS + 1))
+        for d in done:
+            every = every.unionByName(d)
+        return held(every.drop(*[f"__{n}_{a}" for a in axes for n in ("lo", "hi")])), [F.col("__turn"), F.col("__e").desc(), F.col(key)]
+    raise ValueError(f"unknown method {method}: choose one of {METHODS}")
+
+
+#: Grids (of 2, 4, ... cells along an axis) that the greedy ranking takes in turn.
+GREEDY_GRIDS = 6
+
+
+def ladder(df: DataFrame, method: str, chunk: int, axes: Sequence[str], sigmas: Sequence[str], amplitude: str, key: str, max_levels: int | None = None) -> DataFrame:
+    """``df`` with ``rank`` and ``lod``: additive levels that double from a chunk, in the method's order."""
+    placed, order = ranking(df, method, axes, sigmas, amplitude, key)
+    return with_levels(placed, order, stream_cuts(df.count(), chunk, max_levels)).drop("__far", "__e", "__turn")
+
+
+def pyramid(df: DataFrame, axes: Sequence[str], sigmas: Sequence[str], amplitude: str, key: str, factor: int = 4, levels: int = 3, chunk: int = 65536, method: str = "self_energy") -> DataFrame:
+    """(level, lod, key, rank, axes, sigmas, amplitude): substitutive levels, each of a ``factor`` fewer rows (at least one), each with an additive ladder.
+
+    Level 0 is the data, level k its reduction to n / factor^k rows by merging along the Z-order.
+    """
+    if factor < 2 or levels < 1:
+        raise ValueError("a pyramid needs a factor of 2 or more and a level")
+    columns = [key, *axes, *sigmas, amplitude]
+    base = held(df.select(*columns))
+    n, parts = base.count(), []
+    for k in range(levels):
+        target = max(1, n // factor**k)
+        one = base if k == 0 else merge_bins(equal_bins(base, axes, [key], target), "bin", axes, sigmas, amplitude).withColumnRenamed("bin", key).select(*columns)
+        parts.append(ladder(one, method, chunk, axes, sigmas, amplitude, key).select(F.lit(k).alias("level"), "lod", "rank", *columns))
+        if target == 1:
+            break
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def level_matrix(pyramid: DataFrame, amplitude: str) -> DataFrame:
+    """(level, lod, n, amplitude): what each rung of each level holds."""
+    return pyramid.groupBy("level", "lod").agg(F.count("*").alias("n"), F.sum(amplitude).alias(amplitude))

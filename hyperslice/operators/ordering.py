@@ -173,3 +173,20 @@ def depth_order(df: DataFrame, view_row: Sequence[float], axes: Sequence[str], t
 def top_k(df: DataFrame, value: str, key: str, k: int) -> DataFrame:
     """The k rows of the greatest value, ties by the least key, in the keys' order."""
     return df.orderBy(F.desc(value), key).limit(k).orderBy(key)
+
+
+def order_lines(vertices: DataFrame, segments: DataFrame, spatial: Sequence[str], key: str, a: str = "a", b: str = "b", barriers: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(vertices, segments), both along the curve: vertices with ``ord``, segments by their middles with ``ord`` and ends renamed to the vertices' order.
+
+    Segments that name an absent vertex go.
+    """
+    placed = held(spatial_order(vertices, barriers, spatial, [key]).drop("code"))
+    ends = segments.withColumn("__seg", F.monotonically_increasing_id())
+    ends = held(ends)
+    for side, name in ((a, "a"), (b, "b")):
+        of = placed.select(F.col(key).alias(side), F.col("ord").alias(f"__o{name}"), *[F.col(c).alias(f"__{name}_{c}") for c in (*barriers, *spatial)])
+        ends = ends.join(of, side)
+    middle = ends.withColumns({f"__m_{c}": (F.col(f"__a_{c}") + F.col(f"__b_{c}")) / 2 for c in spatial} | {f"__m_{c}": F.col(f"__a_{c}") for c in barriers})
+    sorted_ = spatial_order(held(middle), [f"__m_{c}" for c in barriers], [f"__m_{c}" for c in spatial], ["__oa", "__ob", "__seg"])
+    others = [c for c in segments.columns if c not in (a, b)]
+    return placed, sorted_.select("ord", F.col("__oa").alias(a), F.col("__ob").alias(b), *others)

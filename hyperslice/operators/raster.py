@@ -165,19 +165,31 @@ def sample_by_intensity(volume: DataFrame, n: int, keys: Sequence[str], value: s
 
 
 def equalise_tiles(volume: DataFrame, axes: Sequence[str], tile: int = 16, clip: float = 2.0, bins: int = 256, value: str = "value") -> DataFrame:
-    """Contrast-limited equalisation of values in 0..1 within tiles: clipped histograms, the excess spread evenly; no interpolation between tiles."""
-    tiles = [F.floor(F.col(a) / tile).alias(f"__t{i}") for i, a in enumerate(axes)]
-    keys = [f"__t{i}" for i in range(len(axes))]
-    binned = volume.select("*", *tiles, F.least(F.floor(F.col(value) * bins), F.lit(bins - 1)).cast("int").alias("__b"))
-    counts = binned.groupBy(*keys, "__b").agg(F.count("*").alias("n"))
-    whole = Window.partitionBy(*keys)
-    counts = counts.withColumn("all_n", F.sum("n").over(whole))
+    """Contrast-limited equalisation of values in 0..1: clipped histograms of tiles, the excess spread evenly, and between the tiles' middles their curves interpolated.
+
+    A voxel is mapped by the curves of the 2^d tiles around it, weighed by the distance
+    from their middles; beyond the outer middles, and where a tile has no voxels, the others count alone.
+    """
+    names = [f"__t{i}" for i in range(len(axes))]
+    binned = volume.withColumn("__b", F.least(F.floor(F.col(value) * bins), F.lit(bins - 1)).cast("int"))
+    counts = binned.groupBy(*[F.floor(F.col(a) / tile).cast("bigint").alias(n) for a, n in zip(axes, names, strict=True)], "__b").agg(F.count("*").alias("n"))
+    totals = counts.groupBy(*names).agg(F.sum("n").alias("all_n"), F.collect_list(F.struct("__b", "n")).alias("h"))  # at most ``bins`` in a list
     limit = F.greatest(F.lit(1.0), clip * F.col("all_n") / bins)
-    counts = counts.withColumn("kept", F.least(F.col("n").cast("double"), limit))
-    counts = counts.withColumn("spread", (F.col("all_n") - F.sum("kept").over(whole)) / bins)
-    up = whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-    cdf = counts.withColumn("cdf", (F.sum("kept").over(up) + F.col("spread") * (F.col("__b") + 1)) / F.col("all_n")).select(*keys, "__b", "cdf")
-    return binned.join(cdf, [*keys, "__b"]).withColumn(value, F.col("cdf")).select(*volume.columns)
+    kept = F.transform("h", lambda e: F.struct(e["__b"].alias("b"), F.least(e["n"].cast("double"), limit).alias("k")))
+    curves = totals.withColumn("kept", kept)
+    curves = curves.withColumn("spread", (F.col("all_n") - F.aggregate("kept", F.lit(0.0), lambda s, e: s + e["k"])) / bins)
+    up_to = F.aggregate(F.filter("kept", lambda e: e["b"] <= F.col("__b")), F.lit(0.0), lambda s, e: s + e["k"])
+    curves = curves.select(*names, "all_n", "kept", "spread", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("__b"))
+    curves = curves.select(*names, "__b", ((up_to + F.col("spread") * (F.col("__b") + 1)) / F.col("all_n")).alias("cdf"))
+    around, weight = binned, F.lit(1.0)
+    for a, n in zip(axes, names, strict=True):
+        middle = (F.col(a) + 0.5) / tile - 0.5
+        low = F.floor(middle).cast("bigint")
+        around = around.withColumn(n, F.explode(F.array(low, low + 1)))
+        weight = weight * (1 - F.abs(middle - F.col(n)))
+    joined = around.withColumn("__w", weight).filter("__w > 0").join(curves, [*names, "__b"])
+    mapped = joined.groupBy(*axes).agg((F.sum(F.col("__w") * F.col("cdf")) / F.sum("__w")).alias("__v"))
+    return volume.join(mapped, list(axes)).withColumn(value, F.col("__v")).select(*volume.columns)
 
 
 def trilinear(points: DataFrame, grid: DataFrame, axes: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -213,3 +225,49 @@ def rk4(points: DataFrame, grid: DataFrame, axes: Sequence[str], flow: Sequence[
             state = state.withColumns({a: F.col(o) + step * part * F.col(n) for a, o, n in zip(axes, origin, names, strict=True)})
     moved = {a: F.col(origin[i]) + step / 6 * (F.col(slopes[0][i]) + 2 * F.col(slopes[1][i]) + 2 * F.col(slopes[2][i]) + F.col(slopes[3][i])) for i, a in enumerate(axes)}
     return state.withColumns(moved).select(*points.columns)
+
+
+def noise_floor(volume: DataFrame, axes: Sequence[str], value: str = "value") -> dict[str, float]:
+    """Three estimates of the noise's deviation, and their median as ``ensemble``; NaN without pairs of neighbours.
+
+    difference: the median distance of neighbours along the last axis; laplacian: the median
+    second difference; background: the median distance from the median, of the values up to
+    it. Each is scaled to the deviation of a normal distribution.
+    """
+    last = axes[-1]
+    up, down = (volume.select(*[(F.col(a) + s if a == last else F.col(a)).alias(a) for a in axes], F.col(value).alias(n)) for s, n in ((-1, "__up"), (1, "__down")))
+    near = volume.join(up, list(axes), "left").join(down, list(axes), "left")
+    median = quantiles(volume, [(F.col(value), 0.5)])[0]
+    if median is None:
+        return dict.fromkeys(("difference", "laplacian", "background", "ensemble"), float("nan"))
+    wanted = [F.abs(F.col("__up") - F.col(value)), F.abs(F.col("__up") + F.col("__down") - 2 * F.col(value)), F.when(F.col(value) <= median, median - F.col(value))]
+    found = quantiles(near, [(w, 0.5) for w in wanted])
+    scales = (0.6744897501960817 * 2**0.5, 0.6744897501960817 * 6**0.5, 0.6744897501960817)
+    out = {n: float("nan") if f is None else f / s for n, f, s in zip(("difference", "laplacian", "background"), found, scales, strict=True)}
+    known = sorted(v for v in out.values() if v == v)
+    return out | {"ensemble": known[len(known) // 2] if known else float("nan")}
+
+
+def gain_db(held_mse: Column, base_mse: Column) -> Column:
+    """Decibels by which an estimate beats predicting zero: infinite without error, NaN without a baseline."""
+    return F.when(base_mse.isNull() | held_mse.isNull() | (base_mse <= 0), float("nan")).when(held_mse <= 0, float("inf")).otherwise(10 * F.log10(base_mse / F.nullif(held_mse, F.lit(0.0))))
+
+
+def spot_peak_ratio(rendered: DataFrame, spots: DataFrame, axes: Sequence[str], value: str = "value", peak: str = "peak") -> float:
+    """The median of rendered over true value at the spots (their axes and ``peak``); voxels that aren't rendered are 0; NaN without spots of a positive peak."""
+    at = spots.filter(F.col(peak) > 0).join(rendered.select(*axes, F.col(value).alias("__v")), list(axes), "left")
+    found = quantiles(at, [(F.coalesce("__v", F.lit(0.0)) / F.col(peak), 0.5)])[0]
+    return float("nan") if found is None else found
+
+
+def on_basis(volume: DataFrame, floor: float | None, value: str = "value") -> DataFrame:
+    """The volume less a stored floor, never below 0; unchanged without one."""
+    return volume if floor is None else volume.withColumn(value, F.greatest(F.col(value) - floor, F.lit(0.0)))
+
+
+def plateau(curve: DataFrame, at: str, gain: str, patience: int = 2, least: float = 0.1) -> DataFrame:
+    """One row (stop): the first point of a curve by which ``patience`` steps in a row have gained less than ``least``; null if none. A row for each point of a sweep, so one window."""
+    here = Window.orderBy(at)
+    poor = curve.select(at, F.when(F.col(gain) - F.lag(gain).over(here) < least, 1).otherwise(0).alias("__p"))
+    run = F.sum("__p").over(here.rowsBetween(-(patience - 1), 0))
+    return poor.withColumn("__r", run).agg(F.min(F.when(F.col("__r") >= patience, F.col(at))).alias("stop"))
