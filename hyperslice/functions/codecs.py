@@ -73,12 +73,21 @@ def delta_decode(df: DataFrame, delta: str, chunk: str, order: str, bits: int =
 
 
 def dictionary_encode(df: DataFrame, column: str, out: str = "code") -> tuple[DataFrame, DataFrame]:
-    """(df with dense codes in the values' order, dictionary). The dictionary holds a column's distinct values; it is joined, not collected."""
-    from ..operators.ordering import ranked
+    """(df with dense codes in the values' order, null first, dictionary). The dictionary holds a column's distinct values.
 
-    values = ranked(df.select(column).distinct(), [F.col(column)], "n")
-    lut = values.select(F.col(column), (F.col("n") - 1).alias(out))
-    return df.join(lut, df[column].eqNullSafe(lut[column]), "left").select(df["*"], lut[out]), lut
+    It is broadcast where its counted rows allow it; else rows of very frequent values are joined apart from the others, so none is a hot key.
+    """
+    from ..operators.ordering import BROADCAST_ROWS, held, join_hot, ranked
+
+    counted = df.groupBy(column).agg(F.count("*").alias("__n"))
+    lut = held(ranked(counted, [F.col(column)], "__r").select(F.col(column), (F.col("__r") - 1).alias(out), "__n"))
+    known = lut.drop("__n")
+    if lut.count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(known), df[column].eqNullSafe(known[column]), "left").select(df["*"], known[out]), known
+    total = lut.agg(F.sum("__n")).first()[0]
+    valued = join_hot(df.filter(F.col(column).isNotNull()), lut, column, total).select(*df.columns, out)
+    absent = df.filter(F.col(column).isNull()).crossJoin(F.broadcast(known.filter(F.col(column).isNull()).select(out)))  # one row at most
+    return valued.unionByName(absent.select(*df.columns, out)), known
 
 
 def dictionary_decode(codes: DataFrame, lut: DataFrame, code: str = "code") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import held
+from .ordering import held, sized
 from .slicing import every
 
 
@@ -23,14 +23,31 @@ def bucketed(df: DataFrame, axes: Sequence[str], cell: float, ring: int = 0) ->
     return df
 
 
-def radius_join(points: DataFrame, queries: DataFrame, axes: Sequence[str], radius: float, key: str, query: str, groups: Sequence[str] = ()) -> DataFrame:
-    """(query, key, d2) of every pair closer than ``radius`` (strictly), within equal groups. Pairs meet in cells of the radius."""
+#: Points of a cell beyond which it is split over tasks.
+SPLIT = 50_000
+
+
+def radius_join(points: DataFrame, queries: DataFrame, axes: Sequence[str], radius: float, key: str, query: str, groups: Sequence[str] = (), split: int | None = SPLIT) -> DataFrame:
+    """(query, key, d2) of every pair closer than ``radius`` (strictly), within equal groups. Pairs meet in cells of the radius.
+
+    The points of a cell with more than ``split`` are dealt to several tasks by hash, and
+    the queries that look into it go to each of them: a dense place is no hot key. With
+    ``split`` None cells aren't counted.
+    """
     if radius < 0:
         raise ValueError("negative radius")
     cell = max(radius, 1e-12)
+    cells = [*groups, *[f"__k{i}" for i in range(len(axes))]]
     p = bucketed(points.select(F.col(key), *axes, *groups), axes, cell)
     q = bucketed(queries.select(F.col(query).alias("__q"), *[F.col(a).alias(f"__{a}") for a in axes], *groups), [f"__{a}" for a in axes], cell, 1)
-    joined = p.join(q, [*groups, *[f"__k{i}" for i in range(len(axes))]])
+    dense = held(p.groupBy(*cells).agg(F.count("*").alias("__n")).filter(F.col("__n") > split)) if split is not None else None
+    if dense is not None and not dense.isEmpty():
+        dense = dense.select(*cells, F.ceil(F.col("__n") / split).alias("__parts"))
+        parts = F.coalesce("__parts", F.lit(1))
+        p = p.join(sized(dense), cells, "left").withColumn("__part", F.pmod(F.xxhash64(key), parts)).drop("__parts")
+        q = q.join(sized(dense), cells, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts.cast("bigint") - 1))).drop("__parts")
+        cells = [*cells, "__part"]
+    joined = p.join(q, cells)
     d2 = squared([F.col(a) for a in axes], [F.col(f"__{a}") for a in axes])
     return joined.withColumn("d2", d2).filter(F.col("d2") < radius * radius).select(F.col("__q").alias("query"), key, "d2")
 
@@ -116,7 +133,7 @@ def min_distance_order(df: DataFrame, axes: Sequence[str], key: str, levels: int
             undecided = _away(undecided, kept, axes, radius, key)
         undecided = held(undecided)
         while not undecided.isEmpty():
-            pairs = radius_join(undecided, undecided, axes, radius, key, key)
+            pairs = radius_join(undecided, undecided, axes, radius, key, key, split=None)
             o1, o2 = undecided.select(F.col(key).alias("query"), F.col("__o").alias("o1")), undecided.select(key, F.col("__o").alias("o2"))
             beaten = pairs.join(o1, "query").join(o2, key).filter((F.col("o2") < F.col("o1")) | ((F.col("o2") == F.col("o1")) & (F.col(key) < F.col("query")))).select(F.col("query").alias(key)).distinct()
             winners = held(undecided.join(beaten, key, "left_anti").withColumn("lod", F.lit(level)))
@@ -130,5 +147,5 @@ def min_distance_order(df: DataFrame, axes: Sequence[str], key: str, levels: int
 
 
 def _away(rows: DataFrame, kept: DataFrame, axes: Sequence[str], radius: float, key: str) -> DataFrame:
-    near = radius_join(kept, rows, axes, radius, key, key).select(F.col("query").alias(key)).distinct()
+    near = radius_join(kept, rows, axes, radius, key, key, split=None).select(F.col("query").alias(key)).distinct()
     return rows.join(near, key, "left_anti")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hyperslice.functions import curves
+from hyperslice.functions import codecs, curves
 from hyperslice.operators import chunks, graph, infer, lod, mixture, neighbors, ordering, raster
 from hyperslice.plans import partition
 from hyperslice.plans.queries import QUERIES
@@ -91,6 +91,27 @@ def test_nearest_is_found_however_far(spark):
     assert found == {(10, 1): 2, (10, 2): 1, (11, 1): 1, (11, 2): 3}
 
 
+def test_dense_cells_are_split(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, float(x), i % 2) for i, x in enumerate(np.append(rng.random(300) * 0.01, rng.random(40) * 10))]
+    df = spark.createDataFrame(rows, "id long, x double, g int")
+    expected = {(a, b) for a, x, g in rows for b, y, h in rows if g == h and (x - y) ** 2 < 0.25}
+    for split in (20, None, 50_000):
+        found = neighbors.radius_join(df, df, ["x"], 0.5, "id", "id", ["g"], split).collect()
+        assert {(r.query, r.id) for r in found} == expected and len(found) == len(expected)
+
+
+def test_dictionaries_of_both_sizes(spark, monkeypatch):
+    rows = [("often",)] * 500 + [(f"w{i:03d}",) for i in range(300)] + [(None,)] * 20
+    df = spark.createDataFrame(rows, "v string")
+    order = [None, *sorted({v for (v,) in rows if v})]
+    for most in (200_000, -1):
+        monkeypatch.setattr(ordering, "BROADCAST_ROWS", most)
+        coded, lut = codecs.dictionary_encode(df, "v")
+        found = coded.collect()
+        assert len(found) == len(rows) and all(order[r.code] == r.v for r in found) and lut.count() == len(order)
+
+
 def test_poisson_levels_equal_one_greedy_pass(spark):
     rng = np.random.default_rng(4)
     points = [(i, *map(float, p)) for i, p in enumerate(rng.random((60, 2)))]
