@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import shared_dir
+
 #: Rows in one Arrow batch. Texts may be very long, so batches stay short.
 ARROW_ROWS = 256
 
@@ -49,26 +50,30 @@ def fresh(df: DataFrame, name: str) -> str:
     return made
 
 
-def cut_dir(spark: SparkSession) -> None:
-    """See that there is a folder for checkpoints: the one that ``spark.checkpoint.dir`` names, or one of this machine where that is unset (in tests)."""
-    sc = spark.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir", None) is None and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="hyperslice-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by ``checkpoint()`` into the cluster's shared folder."""
-    cut_dir(df.sparkSession)
-    return df.checkpoint()
+#: Folders that this session has written intermediate tables to, in order.
+_written: list[str] = []
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to a new folder beside the checkpoints, and read again."""
-    spark = df.sparkSession
-    cut_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    """``df`` written as Parquet to a new folder beside the checkpoints, and read again, which cuts its lineage."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    _written.append(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def marked() -> int:
+    """How many tables ``stored`` has written so far, for ``release``."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Delete the tables that ``stored`` has written since a mark, but for the last ``keep``: what reads them must have been written."""
+    gone = _written[since : len(_written) - keep]
+    del _written[since : len(_written) - keep]
+    for path in gone:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 #: A key of over one in so many rows is hot; there are at most so many hot keys.

@@ -115,8 +115,14 @@ def aligned_windows(index: DataFrame, items: DataFrame, windows: DataFrame) -> D
 
 def phrases(docs: DataFrame, items: DataFrame, windows: DataFrame, near: DataFrame, text: str = "text") -> DataFrame:
     """(t, n_hit, items): texts with an occurring window: their words inside one, and the ids of the items, sorted. ``near`` is compared word by word."""
-    wanted = stored(near.groupBy("t").agg(F.collect_list(F.struct("k", "j", "start")).alias("near")), "wanted")
-    texts = docs.select(text_id(F.col(text)).alias("t"), F.col(text).alias("text")).join(sized(wanted), "t")
+    near = stored(near, "near")
+    wanted = near.groupBy("t").agg(F.collect_list(F.struct("k", "j", "start")).alias("near"))
+    texts = docs.select(text_id(F.col(text)).alias("t"), F.col(text).alias("text"))
+    if near.count() <= BROADCAST_ROWS:  # windows, not texts: a text can have very many
+        texts = texts.join(F.broadcast(wanted), "t")
+    else:
+        counts = texts.groupBy("t").agg(F.count("*").alias("n"))
+        texts = join_hot(texts, stored(wanted.join(counts, "t"), "wanted"), "t", docs.count())
     size = windows.agg(F.max(F.size("words"))).first()[0] or 0
     cut = texts.select("t", "near", words_of(F.col("text")).alias("words")).select("t", F.explode(F.transform("near", lambda n: F.struct(n["k"].alias("k"), n["j"].alias("j"), n["start"].alias("start"), F.slice("words", n["start"] + 1, F.lit(size)).alias("there")))).alias("n"))
     cut = cut.select("t", "n.*").distinct()  # copies have the same
@@ -163,10 +169,10 @@ class Index:
         return near_terms(self.postings, self.rarest, span)
 
 
-def _with_results(docs: DataFrame, results: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n_words) of every row of ``docs``, and what ``results`` (stored, a row for a text) has for its text."""
+def _with_results(docs: DataFrame, results: DataFrame, key: str, text: str, lists: str) -> DataFrame:
+    """(key, n_words) of every row of ``docs``, and what ``results`` (stored, a row for a text) has for its text. The elements of ``lists`` count as rows for a broadcast."""
     rows = docs.select(F.col(key).alias("key"), text_id(F.col(text)).alias("t"), F.size(words_of(F.col(text))).cast("bigint").alias("n_words"))
-    if results.count() <= BROADCAST_ROWS:
+    if (results.agg(F.sum(1 + F.size(F.coalesce(lists, F.array())))).first()[0] or 0) <= BROADCAST_ROWS:
         return rows.join(F.broadcast(results), "t", "left").drop("t")
     rows = stored(rows, "rows")
     counted = stored(results.join(rows.groupBy("t").agg(F.count("*").alias("n")), "t"), "results")
@@ -189,7 +195,7 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
     if near:
         met = index.near(NEAR_SPAN).select("t", "k").distinct().join(sized(index.items.select("k", F.size("ids").alias("n"))), "k").groupBy("t").agg(F.sum("n").alias("n_near"))
         results = stored(results.join(met, "t", "full"), "results")
-    found = _with_results(docs, results, key, text)
+    found = _with_results(docs, results, key, text, "items")
     none = F.array().cast("array<string>")
     columns = [F.col("key").alias(key), "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", none).alias("items")]
     return found.select(*columns, *([F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near")] if near else []))
@@ -205,7 +211,7 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, terms: int = NEAR_T
     index = Index(docs, benchmark, 0, terms, text, item, item_text)
     met = index.near(span).join(sized(index.items.select("k", "ids")), "k")
     places = stored(met.groupBy("t").agg(F.collect_list(F.struct("ids", "first_pos", "last_pos")).alias("met")), "met")
-    found = _with_results(docs, places, key, text).select(F.col("key").alias(key), F.explode("met").alias("m"))
+    found = _with_results(docs, places, key, text, "met").select(F.col("key").alias(key), F.explode("met").alias("m"))
     return found.select(key, F.explode("m.ids").alias("item"), "m.first_pos", "m.last_pos")
 
 
