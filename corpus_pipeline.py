@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from hyperslice.llm import decontamination, pii, quality_rules, simhash_dedup
 from hyperslice.llm.byte_bpe import round_trip
-from hyperslice.llm.common import read, stored
+from hyperslice.llm.common import marked, read, release, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -51,7 +51,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """All stages over ``documents``; of the tables between them only the last stays, which the lazy result reads."""
+    docs, since = read(spark, sf_dir, "documents"), marked()
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        release(spark, since, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
