@@ -49,6 +49,9 @@ LINK, AGAIN, TALLY = 0, 1, 2
 LARGE = 4096
 GATHER = 1 << 15
 
+#: Rows of 16 bytes up to which a counted table is broadcast.
+BROADCAST_ROWS = 200_000
+
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -311,8 +314,12 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     chosen = stored(chosen.join(times, "same").withColumnRenamed("same", same), "chosen")
     every = docs.withColumn(same, _identity(docs))
     once = every.join(chosen.filter("n = 1").select(same), same, "left_semi").drop(same)
-    # repeated rows meet within tasks before they are shuffled
-    repeated = join_hot(every, chosen.filter("n > 1"), same, total)
+    repeats = chosen.filter("n > 1")
+    n = repeats.count()
+    if not n:
+        return once
+    # rows that are equal in every column meet within tasks before they are shuffled
+    repeated = every.join(F.broadcast(repeats.select(same)), same) if n <= BROADCAST_ROWS else join_hot(every, repeats, same, total)
     repeated = repeated.groupBy(same).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")).select("row.*")
     return once.unionByName(repeated)
 
