@@ -44,6 +44,10 @@ _codes: dict[bytes, int] = {}
 def shape(word: bytes) -> bytes:
     """What a word looks like: case, length, digits, and the marks at its ends."""
     text = word.decode(errors="replace")
+    core, tail = (text, "") if text.isalpha() else (text[:-1], text[-1]) if text[:-1].isalpha() and not text[-1].isalnum() else (None, "")
+    if core is not None:  # most words: letters, and a mark behind them at most
+        case = "X" if len(core) > 1 and core.isupper() else "Xx" if core[0].isupper() else "x"
+        return f"{case}{min(3, len(core) // 5)}{tail}".encode()
     core = text.strip("".join({c for c in text if not c.isalnum()}))
     tail = text[len(text.rstrip("".join({c for c in text if not c.isalnum()}))) :][:3] if core else text[:3]
     letters = [c for c in core if c.isalpha()]
@@ -91,7 +95,8 @@ def indicators(text: str) -> np.ndarray:
     lines = [x for x in raw.split(b"\n") if x.strip()]
     if len(set(lines)) < len(lines):
         found.append(np.array([zlib.crc32(b"line again"), zlib.crc32(b"lines again %d" % min(9, 10 * len(set(lines)) // len(lines)))], np.uint32))
-    return np.unique(np.concatenate(found))
+    every = np.sort(np.concatenate(found))
+    return every[np.append(True, every[1:] != every[:-1])]
 
 
 @dataclass
