@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import covariance
 from .neighbors import bucketed
+from .ordering import held, ranked, sized
 
 
 #: Largest sigmas within which pairs are summed: beyond, a pair adds under e^-36 of its peak, less than a double holds.
@@ -78,7 +80,7 @@ def agglomerated(mu: np.ndarray, var: np.ndarray, mass: np.ndarray, target: int)
         j = int(partner[i])
         total = mass[i] + mass[j]
         w = np.array([mass[i], mass[j]]) / total if total > 0 else np.array([0.5, 0.5])
-        mean = w[0] * mu[i] + w[1] * mu[j]
+        mean = np.where(mu[i] == mu[j], mu[i], w[0] * mu[i] + w[1] * mu[j])  # rows of one center stay at it
         var[i] = w[0] * (var[i] + mu[i] ** 2) + w[1] * (var[j] + mu[j] ** 2) - mean**2
         mu[i], mass[i], alive[j] = mean, total, False
         renew(i)
@@ -95,22 +97,56 @@ def agglomerated(mu: np.ndarray, var: np.ndarray, mass: np.ndarray, target: int)
 def greedy_merge(df: DataFrame, axes: Sequence[str], sigmas: Sequence[str], amplitude: str, tile: float, share: float) -> DataFrame:
     """Within tiles, the two rows whose merging moves least mass become one until a share of the rows is left.
 
-    Agglomeration is sequential, so each tile is one group, and a merge takes time in
-    proportion to its rows: choose tiles that hold some ten thousands of rows at most.
-    Masses, means and variances are kept by moment matching.
+    Rows of one center merge at no cost, so they do first, center by center in order: of
+    each tile so many as its share asks for, by sums over all tasks. Only tiles that need
+    further merges, and those with rows without a positive mass (which merge at no cost as
+    well), are agglomerated: that is sequential, so such a tile is one group, and a merge
+    takes time in proportion to its rows: choose tiles that hold some ten thousands of
+    centers at most. Masses, means and variances are kept by moment matching.
     """
     names = [*axes, *sigmas, amplitude]
     d = len(axes)
+    tiles = [f"__t{i}" for i in range(d)]
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         rows = frame[names].sort_values(names).to_numpy(float)
-        mu, var, mass = agglomerated(rows[:, :d], rows[:, d : 2 * d] ** 2, rows[:, -1] * rows[:, d : 2 * d].prod(1), max(1, round(share * len(rows))))
+        mu, var, mass = agglomerated(rows[:, :d], rows[:, d : 2 * d] ** 2, rows[:, -1] * rows[:, d : 2 * d].prod(1), int(frame["__target"].iloc[0]))
         sigma = np.sqrt(np.maximum(var, 1e-24))
         return pd.DataFrame(np.hstack([mu, sigma, (mass / sigma.prod(1))[:, None]]), columns=names)
 
-    keys = [F.floor(F.col(a) / tile).alias(f"__t{i}") for i, a in enumerate(axes)]
-    placed = df.select(*[F.col(n).cast("double").alias(n) for n in names], *keys)
-    return placed.groupBy(*[f"__t{i}" for i in range(d)]).applyInPandas(one, ", ".join(f"{n} double" for n in names))
+    placed = df.select(*[F.col(n).cast("double").alias(n) for n in names], *[F.floor(F.col(a) / tile).alias(t) for a, t in zip(axes, tiles, strict=True)])
+    mass = covariance.mass(F.col(amplitude), [F.col(s) for s in sigmas])
+    sound = reduce(lambda x, y: x & y, [F.col(n).isNotNull() & ~F.isnan(n) for n in names]) & (mass > 0) & (mass < float("inf"))
+    centers = placed.groupBy(*tiles, *axes).agg(F.count("*").alias("__n"), F.min(sound).alias("__sound"))
+    whole, before = Window.partitionBy(*tiles), Window.partitionBy(*tiles).orderBy(*axes).rowsBetween(Window.unboundedPreceding, -1)
+    size = F.sum("__n").over(whole)
+    wanted = F.greatest(F.lit(1), F.rint(share * size).cast("bigint"))
+    centers = centers.withColumns({"__target": wanted, "__spare": size - wanted, "__all": F.min("__sound").over(whole), "__free": F.sum(F.col("__n") - 1).over(whole), "__used": F.coalesce(F.sum(F.col("__n") - 1).over(before), F.lit(0))})
+    merges = F.when(F.col("__all"), F.greatest(F.lit(0), F.least(F.col("__n") - 1, F.col("__spare") - F.col("__used")))).otherwise(0)
+    further = ~F.col("__all") | (F.col("__free") < F.col("__spare"))
+    centers = held(centers.select(*tiles, *axes, "__n", "__target", merges.alias("__merges"), further.alias("__further")))
+    plan = centers.select(*[F.col(n).alias(f"__c_{n}") for n in (*tiles, *axes)], "__n", "__target", "__merges", "__further")
+    same = reduce(lambda x, y: x & y, [F.col(n).eqNullSafe(F.col(f"__c_{n}")) for n in (*tiles, *axes)])
+    rows = placed.join(sized(plan), same).drop(*[f"__c_{n}" for n in (*tiles, *axes)])
+
+    def merged(rows: DataFrame) -> DataFrame:
+        weighed = rows.withColumn("__m", mass)
+        one_each = weighed.groupBy(*tiles, *axes, "__target", "__further").agg(F.sum("__m").alias("__m"), *[(F.sum(F.col("__m") * F.col(s) * F.col(s)) / F.sum("__m")).alias(f"__v_{s}") for s in sigmas])
+        widths = {s: F.sqrt(F.greatest(F.col(f"__v_{s}"), F.lit(1e-24))) for s in sigmas}
+        wide = one_each.select("*", *[w.alias(s) for s, w in widths.items()])
+        return wide.select(*axes, *sigmas, (F.col("__m") / covariance.product([F.col(s) for s in sigmas])).alias(amplitude), *tiles, "__target", "__further")
+
+    columns = [*names, *tiles, "__target", "__further"]
+    none, some = F.col("__merges") == 0, F.col("__merges") < F.col("__n") - 1
+    cut = ranked(held(rows.filter(~none & some)), [F.col(n) for n in (*tiles, *names)], "__rank")  # a tile has at most one center that is merged in part
+    cut = cut.join(sized(cut.groupBy(*tiles).agg(F.min("__rank").alias("__first"))), tiles)
+    left = rows.filter(none).select(*columns).unionByName(merged(rows.filter(~none & ~some)))
+    head = F.col("__rank") - F.col("__first") <= F.col("__merges")
+    left = held(left.unionByName(merged(cut.filter(head))).unionByName(cut.filter(~head).select(*columns)))
+    done = left.filter(F.col("__further")).drop("__further").groupBy(*tiles).applyInPandas(one, ", ".join(f"{n} double" for n in names))
+    widths = [F.sqrt(F.greatest(F.col(s) * F.col(s), F.lit(1e-24))).alias(s) for s in sigmas]
+    ready = left.filter(~F.col("__further")).select(*axes, *widths, mass.alias("__m"))
+    return ready.withColumn(amplitude, F.col("__m") / covariance.product([F.col(s) for s in sigmas])).drop("__m").unionByName(done)
 
 
 def grid_seeds(df: DataFrame, axes: Sequence[str], spacing: Sequence[float], jitter: float = 0.0, seed: int = 42) -> DataFrame:
