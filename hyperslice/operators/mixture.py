@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import covariance
-from .neighbors import bucketed
-from .ordering import held, ranked, sized
+from .neighbors import bucketed, dealt
+from .ordering import held, met, ranked, sized
 
 
 #: Largest sigmas within which pairs are summed: beyond, a pair adds under e^-36 of its peak, less than a double holds.
@@ -25,20 +25,32 @@ def reach_of(parts: Sequence[DataFrame], sigmas: Sequence[str]) -> float:
     return REACH * max((w for w in widest if w), default=1.0)
 
 
+#: Splats of a cell that one task pairs with those around it; more are dealt to several.
+PAIRED = 512
+
+
+def alike(df: DataFrame, axes: Sequence[str], sigmas: Sequence[str], amplitude: str) -> DataFrame:
+    """A splat for each center and width: the kernel is linear in the amplitude, so those of equal splats are summed."""
+    return df.groupBy(*axes, *sigmas).agg(F.sum(amplitude).alias(amplitude))
+
+
 def inner_product(a: DataFrame, b: DataFrame, axes: Sequence[str], sigmas: Sequence[str], amplitude: str, cell: float | None = None) -> DataFrame:
     """One row: the sum of pair kernels over splats whose centers lie in the same or touching cells, which is the whole sum to double precision.
 
-    The cell follows from the largest sigma; a narrower one is refused. Pairs meet by an equi-join on cells.
+    The cell follows from the largest sigma; a narrower one is refused. Equal splats are
+    one, and pairs meet by an equi-join on cells, dense ones in several tasks.
     """
     needed = reach_of([a, b], sigmas)
     if cell is not None and cell < needed:
         raise ValueError(f"a cell of {cell} would lose pairs: {needed} are needed")
     cell = cell or needed
-    p = bucketed(a.select(F.col(amplitude).alias("a_amp"), *[F.col(x).alias(f"a_{x}") for x in (*axes, *sigmas)]), [f"a_{x}" for x in axes], cell)
+    a, b = alike(a, axes, sigmas, amplitude), alike(b, axes, sigmas, amplitude)
+    names = [f"a_{x}" for x in (*axes, *sigmas)]
+    p = bucketed(held(a.select(F.col(amplitude).alias("a_amp"), *[F.col(x).alias(f"a_{x}") for x in (*axes, *sigmas)])), names[: len(axes)], cell)
     q = bucketed(b.select(F.col(amplitude).alias("b_amp"), *[F.col(x).alias(f"b_{x}") for x in (*axes, *sigmas)]), [f"b_{x}" for x in axes], cell, 1)
-    pairs = p.join(q, [f"__k{i}" for i in range(len(axes))])
+    p, q, cells = dealt(p, q, [f"__k{i}" for i in range(len(axes))], names, PAIRED)
     kernel = covariance.pair_kernel(F.col("a_amp"), [F.col(f"a_{x}") for x in axes], [F.col(f"a_{s}") for s in sigmas], F.col("b_amp"), [F.col(f"b_{x}") for x in axes], [F.col(f"b_{s}") for s in sigmas])
-    return pairs.agg(F.coalesce(F.sum(kernel), F.lit(0.0)).alias("inner"))
+    return met(q, p, cells).agg(F.coalesce(F.sum(kernel), F.lit(0.0)).alias("inner"))
 
 
 def similarity(a: DataFrame, b: DataFrame, axes: Sequence[str], sigmas: Sequence[str], amplitude: str, cell: float | None = None) -> DataFrame:

@@ -58,6 +58,12 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def met(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table`` by a sort, neither broadcast, in no fewer tasks than there are shuffle partitions: for joins that make many more rows than they read. ``table`` should have few rows for each key: those are what a task holds."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *on).join(table.repartition(n, *on).hint("merge"), list(on), how)
+
+
 def join_hot(rows: DataFrame, table: DataFrame, on: str, total: int) -> DataFrame:
     """``rows`` joined with ``table``: a row for each key ``on``, and ``__n``, how many of the ``total`` rows have it.
 

@@ -6,6 +6,7 @@ from collections import defaultdict
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from hyperslice.operators import mixture
 
@@ -40,3 +41,41 @@ def test_rows_of_one_center_merge_first_and_exactly(spark, share):
         assert len(found[t]) == len(expected)
         for a, b in zip(sorted(found[t]), expected, strict=True):
             assert a == pytest.approx(b, rel=1e-9)
+
+
+def pairs_made(spark, df):
+    """The most rows that a node of the executed plan has put out."""
+    df.collect()
+    plan, most = df._jdf.queryExecution().executedPlan(), 0
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
+        metric = node.metrics().get("numOutputRows")
+        most = max(most, metric.get().value() if metric.isDefined() else 0)
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return most
+
+
+def test_equal_splats_are_one(spark):
+    """8,000 rows of eight splats: 64 pairs, not 64 million."""
+    k = F.col("id")
+    df = spark.range(8000).select((k % 4).cast("double").alias("x"), (k % 2).cast("double").alias("y"), (0.5 + (k % 8) / 8).alias("sx"), F.lit(0.75).alias("sy"), (1.0 + k % 3).alias("amp"))
+    rows = df.groupBy("x", "y", "sx", "sy").agg(F.sum("amp").alias("amp")).collect()
+
+    def kernel(a, b):
+        out = a.amp * b.amp
+        for g, s, t in ((a.x - b.x, a.sx, b.sx), (a.y - b.y, a.sy, b.sy)):
+            out *= math.sqrt(2 * math.pi * s * s * t * t / (s * s + t * t)) * math.exp(-g * g / (s * s + t * t) / 2)
+        return out
+
+    whole = sum(kernel(a, b) for a in rows for b in rows)
+    one = mixture.inner_product(df, df, ["x", "y"], ["sx", "sy"], "amp")
+    assert one.first()[0] == pytest.approx(whole, rel=1e-12)
+    assert 64 <= pairs_made(spark, one) <= 8000
