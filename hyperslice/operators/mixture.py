@@ -55,6 +55,7 @@ def inner_product(a: DataFrame, b: DataFrame, axes: Sequence[str], sigmas: Seque
 
 def similarity(a: DataFrame, b: DataFrame, axes: Sequence[str], sigmas: Sequence[str], amplitude: str, cell: float | None = None) -> DataFrame:
     """One row: 1 - |a - b|^2 / |b|^2, held in 0..1."""
+    a, b = held(alike(a, axes, sigmas, amplitude)), held(alike(b, axes, sigmas, amplitude))
     products = [inner_product(x, y, axes, sigmas, amplitude, cell).withColumnRenamed("inner", n) for x, y, n in ((a, a, "aa"), (a, b, "ab"), (b, b, "bb"))]
     joined = products[0].crossJoin(products[1]).crossJoin(products[2])  # a row each
     q = 1 - (F.col("aa") - 2 * F.col("ab") + F.col("bb")) / F.nullif(F.col("bb"), F.lit(0.0))

@@ -79,3 +79,4 @@ def test_equal_splats_are_one(spark):
     one = mixture.inner_product(df, df, ["x", "y"], ["sx", "sy"], "amp")
     assert one.first()[0] == pytest.approx(whole, rel=1e-12)
     assert 64 <= pairs_made(spark, one) <= 8000
+    assert mixture.similarity(df, df, ["x", "y"], ["sx", "sy"], "amp").first()[0] == pytest.approx(1.0)
