@@ -228,6 +228,16 @@ def conditional(center: Column, chol: Column, shown: Sequence[int], hidden: Sequ
     return run(center, chol)
 
 
+def pair_kernel_of(a: Column, mu: Sequence[Column], sigma: Sequence[Column], root: Column, b: Column, nu: Sequence[Column], tau: Sequence[Column], other: Column) -> Column:
+    """The same in two dimensions, of the lower triangles of Sigma and the products of the factors' diagonals: native expressions."""
+    s00, s10, s11 = (s + t for s, t in zip(sigma, tau, strict=True))
+    x, y = (m - n for m, n in zip(mu, nu, strict=True))
+    det = F.greatest(s00 * s11 - s10 * s10, F.lit(1e-300))
+    d2 = (x * x * s11 - 2 * x * y * s10 + y * y * s00) / det
+    volume = F.abs(root * other)
+    return F.when(volume > 0, a * b * (2 * np.pi) * volume / F.sqrt(det) * F.exp(-d2 / 2)).otherwise(0.0)
+
+
 def packed_pair_kernel(a: Column, mu: Column, chol_a: Column, b: Column, nu: Column, chol_b: Column) -> Column:
     """The inner product of two splats of full covariance; 0 where one has no volume."""
 

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ..dims import DISCRETE_REACH, View
 from ..functions import covariance
+from .mixture import PAIRED
+from .neighbors import dealt
+from .ordering import held, met
 from .slicing import LEAST_AMPLITUDE, every
 
 REACH = 12.0
@@ -59,20 +62,31 @@ def merge_bins(df: DataFrame, bin_: str, dims: int, center: str = "center", chol
 
 
 def inner_product(a: DataFrame, b: DataFrame, dims: int, center: str = "center", chol: str = "chol", amplitude: str = "amp") -> DataFrame:
-    """One row: the sum of pair kernels over splats in the same or touching cells of ``REACH`` of the widest sigma, which is the whole sum to double precision."""
+    """One row: the sum of pair kernels over splats in the same or touching cells of ``REACH`` of the widest sigma, which is the whole sum to double precision.
+
+    Equal splats are one (the kernel is linear in the amplitude), dense cells go to several tasks.
+    """
     widest = max((df.agg(F.max(F.greatest(*[covariance.packed_sigma(F.col(chol), i) for i in range(dims)], F.lit(0.0)))).first()[0] or 0.0 for df in (a, b)))
     cell = REACH * widest or 1.0
 
     def placed(df: DataFrame, side: str, ring: int) -> DataFrame:
-        out = df.select(F.col(amplitude).alias(f"{side}_a"), F.col(center).alias(f"{side}_c"), F.col(chol).alias(f"{side}_l"))
+        alike = df.groupBy(F.col(center).alias(f"{side}_c"), F.col(chol).alias(f"{side}_l")).agg(F.sum(amplitude).alias(f"{side}_a"))
+        l = F.col(f"{side}_l")
+        root = covariance.product([l[i * (i + 1) // 2 + i] for i in range(dims)]).alias(f"{side}_r")
+        out = held(alike.select("*", *[F.col(f"{side}_c")[i].alias(f"{side}_x{i}") for i in range(dims)], *[e.alias(f"{side}_s{i}") for i, e in enumerate(covariance.sigma_elements(l, dims))], root))
+        if dims == 2:
+            out = out.drop(f"{side}_c", f"{side}_l")
         for i in range(dims):
-            at = F.floor(F.col(f"{side}_c")[i] / cell).cast("bigint")
+            at = F.floor(F.col(f"{side}_x{i}") / cell).cast("bigint")
             out = out.withColumn(f"__k{i}", F.explode(F.sequence(at - ring, at + ring)) if ring else at)
         return out
 
-    pairs = placed(a, "p", 0).join(placed(b, "q", 1), [f"__k{i}" for i in range(dims)])
-    kernel = covariance.packed_pair_kernel(*[F.col(n) for n in ("p_a", "p_c", "p_l", "q_a", "q_c", "q_l")])
-    return pairs.agg(F.coalesce(F.sum(kernel), F.lit(0.0)).alias("inner"))
+    p, q, cells = dealt(placed(a, "p", 0), placed(b, "q", 1), [f"__k{i}" for i in range(dims)], [*[f"p_x{i}" for i in range(dims)], *[f"p_s{i}" for i in range(dims * (dims + 1) // 2)]], PAIRED)
+    if dims == 2:
+        kernel = covariance.pair_kernel_of(*[c for s in "pq" for c in (F.col(f"{s}_a"), [F.col(f"{s}_x{i}") for i in range(2)], [F.col(f"{s}_s{i}") for i in range(3)], F.col(f"{s}_r"))])
+    else:
+        kernel = covariance.packed_pair_kernel(*[F.col(n) for n in ("p_a", "p_c", "p_l", "q_a", "q_c", "q_l")])
+    return met(q, p, cells).agg(F.coalesce(F.sum(kernel), F.lit(0.0)).alias("inner"))
 
 
 def render(df: DataFrame, shape: Sequence[int], center: str = "center", chol: str = "chol", amplitude: str = "amp", truncate: float = 3.0, floor: float = 1e-5) -> DataFrame:

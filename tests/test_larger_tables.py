@@ -8,7 +8,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from hyperslice.operators import mixture
+from hyperslice.operators import full, mixture
 
 
 def exact_merge(rows, target):
@@ -76,7 +76,8 @@ def test_equal_splats_are_one(spark):
         return out
 
     whole = sum(kernel(a, b) for a in rows for b in rows)
-    one = mixture.inner_product(df, df, ["x", "y"], ["sx", "sy"], "amp")
-    assert one.first()[0] == pytest.approx(whole, rel=1e-12)
-    assert 64 <= pairs_made(spark, one) <= 8000
+    diagonal = df.select("amp", F.array("x", "y").alias("center"), F.array("sx", F.lit(0.0), "sy").alias("chol"))
+    for one in (mixture.inner_product(df, df, ["x", "y"], ["sx", "sy"], "amp"), full.inner_product(diagonal, diagonal, 2)):
+        assert one.first()[0] == pytest.approx(whole, rel=1e-12)
+        assert 64 <= pairs_made(spark, one) <= 8000
     assert mixture.similarity(df, df, ["x", "y"], ["sx", "sy"], "amp").first()[0] == pytest.approx(1.0)
