@@ -39,7 +39,7 @@ def isolation_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("s_suppkey")
     q = read(spark, sf_dir, "supplier").select(s.alias("sid"), ((s * 29 % 103) / 10.0).alias("x"), ((s * 41 % 89) / 10.0).alias("y"))
-    return neighbors.radius_join(places(spark, sf_dir), q, ["x", "y"], 0.7, "id", "sid").withColumn("d2", F.round("d2", 9))
+    return neighbors.radius_join(places(spark, sf_dir), q, ["x", "y"], 0.7, "id", "sid", digits=9)
 
 
 @query()

@@ -116,3 +116,15 @@ def test_crowded_places_counts(spark):
     for r in seen:
         assert found[r.id] == sum(1 for b in rows if b[0] != r.id and squared(by_id[r.id], b) < 0.09)
     assert pairs_made(spark, out) <= len(rows)
+
+
+def test_crowded_places_radius(spark):
+    """Pairs of places stand for all rows at them, also where a place is dealt to several tasks; d2 is rounded before they are written out."""
+    rows, df = crowded(spark, 240)
+    queries = df.filter("id % 5 = 0")
+    expected = {(a[0], b[0]): round(squared(a, b), 3) for a in rows if a[0] % 5 == 0 for b in rows if squared(a, b) < 0.09}
+    for split in (3, None, 50_000):
+        found = neighbors.radius_join(df, queries, ["x", "y"], 0.3, "id", "id", ["g"], split, digits=3).collect()
+        assert len(found) == len(expected) and {(r.query, r.id): r.d2 for r in found} == pytest.approx(expected)
+    at = neighbors.places(df, ["x", "y"], ["g"])
+    assert at.count() == 26 and pairs_made(spark, neighbors.near_places(at, at, ["x", "y"], 0.3, ["g"])) <= 26 * 9
