@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ordering import held, join_hot, ranked
+from .ordering import held, join_hot, ranked, unsent
 
 
 def remap(edges: DataFrame, nodes: DataFrame, src: str = "src", dst: str = "dst", node: str = "id") -> DataFrame:
@@ -18,12 +18,12 @@ def remap(edges: DataFrame, nodes: DataFrame, src: str = "src", dst: str = "dst"
     at = ranked(nodes.select(node).distinct(), [F.col(node)], "__p").select(F.col(node), (F.col("__p") - 1).alias("__p"))
     a = at.select(F.col(node).alias(src), F.col("__p").alias(f"{src}_at"))
     b = at.select(F.col(node).alias(dst), F.col("__p").alias(f"{dst}_at"))
-    return edges.join(a, src).join(b, dst)
+    return edges.join(unsent(a), src).join(unsent(b), dst)
 
 
 def present(edges: DataFrame, nodes: DataFrame, src: str = "src", dst: str = "dst", node: str = "id") -> DataFrame:
     """Edges whose ends both exist."""
-    ids = nodes.select(node).distinct()
+    ids = unsent(nodes.select(node).distinct())
     return edges.join(ids, edges[src] == ids[node], "left_semi").join(ids, edges[dst] == ids[node], "left_semi")
 
 
@@ -36,7 +36,7 @@ def degrees(nodes: DataFrame, edges: DataFrame, node: str = "id", src: str = "sr
     """(node, out_degree, in_degree), 0 without edges; one aggregation over both ends."""
     ends = edges.select(F.explode(F.array(F.struct(F.col(src).alias("n"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col(dst).alias("n"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e"))
     counts = ends.groupBy(F.col("e.n").alias("__n")).agg(F.sum("e.o").alias("o"), F.sum("e.i").alias("i"))
-    return nodes.select(node).join(counts, nodes[node] == counts["__n"], "left").select(node, F.coalesce("o", F.lit(0)).alias("out_degree"), F.coalesce("i", F.lit(0)).alias("in_degree"))
+    return nodes.select(node).join(unsent(counts), nodes[node] == counts["__n"], "left").select(node, F.coalesce("o", F.lit(0)).alias("out_degree"), F.coalesce("i", F.lit(0)).alias("in_degree"))
 
 
 def divisions(edges: DataFrame, src: str = "src") -> DataFrame:
@@ -88,9 +88,9 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "id", src: str =
         least = held(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("__n")))
         small = join_hot(large, least, "u", found[0]).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         now = held(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct())
-    rooted = nodes.select(node).distinct().join(now, nodes[node] == now["u"], "left").select(node, F.coalesce("v", node).alias("root"))
+    rooted = nodes.select(node).distinct().join(unsent(now), nodes[node] == now["u"], "left").select(node, F.coalesce("v", node).alias("root"))
     numbers = ranked(rooted.select("root").distinct(), [F.col("root")], "__l").select("root", (F.col("__l") - 1).alias("lineage"))
-    return rooted.join(numbers, "root").select(node, "root", "lineage")
+    return rooted.join(unsent(numbers), "root").select(node, "root", "lineage")
 
 
 def largest_component(nodes: DataFrame, edges: DataFrame, node: str = "id", src: str = "src", dst: str = "dst") -> tuple[DataFrame, DataFrame]:
@@ -110,12 +110,12 @@ def communities(nodes: DataFrame, edges: DataFrame, node: str = "id", a: str = "
     links = held(adjacency(edges, a, b))
     labels = nodes.select(F.col(node).alias("n"), F.col(node).alias("label")).distinct()
     for _ in range(rounds):
-        votes = links.join(labels, links["b"] == labels["n"]).select(F.col("a").alias("n"), "label").unionByName(labels)
+        votes = links.join(unsent(labels), links["b"] == labels["n"]).select(F.col("a").alias("n"), "label").unionByName(labels)
         counted = votes.groupBy("n", "label").agg(F.count("*").alias("c"))
         labels = held(counted.groupBy("n").agg(F.min(F.struct((-F.col("c")).alias("c"), "label")).alias("best")).select("n", F.col("best.label").alias("label")))
     sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
     number = ranked(sizes, [F.desc("size"), F.col("label")], "__r").select("label", (F.col("__r") - 1).alias("community"), "size")
-    return labels.join(number, "label").select(F.col("n").alias(node), "community", "size")
+    return labels.join(unsent(number), "label").select(F.col("n").alias(node), "community", "size")
 
 
 def top_groups(df: DataFrame, group: str, n: int = 20) -> DataFrame:

@@ -58,10 +58,15 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def unsent(table: DataFrame) -> DataFrame:
+    """``table`` for a join that must not broadcast it: its files are small beside its rows, so by their size Spark would send a table that grows with the input over the driver."""
+    return table.hint("merge")
+
+
 def met(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """``rows`` joined with ``table`` by a sort, neither broadcast, in no fewer tasks than there are shuffle partitions: for joins that make many more rows than they read. ``table`` should have few rows for each key: those are what a task holds."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, *on).join(table.repartition(n, *on).hint("merge"), list(on), how)
+    return rows.repartition(n, *on).join(unsent(table.repartition(n, *on)), list(on), how)
 
 
 def join_hot(rows: DataFrame, table: DataFrame, on: str, total: int) -> DataFrame:
@@ -73,7 +78,7 @@ def join_hot(rows: DataFrame, table: DataFrame, on: str, total: int) -> DataFram
     hot = F.col("__n") * HOT > total
     cold = rows.join(F.broadcast(table.filter(hot).select(on)), on, "left_anti")
     few = F.broadcast(table.filter(hot).drop("__n"))
-    return rows.join(few, on).unionByName(cold.join(table.filter(~hot).drop("__n"), on))
+    return rows.join(few, on).unionByName(cold.join(unsent(table.filter(~hot).drop("__n")), on))
 
 
 def order_statistics(df: DataFrame, wanted: Sequence[tuple[Column, int]], bins: int = 1024) -> list[float]:

@@ -8,7 +8,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from hyperslice.operators import full, mixture, neighbors
+from hyperslice.operators import full, graph, mixture, neighbors
 
 
 def exact_merge(rows, target):
@@ -43,23 +43,23 @@ def test_rows_of_one_center_merge_first_and_exactly(spark, share):
             assert a == pytest.approx(b, rel=1e-9)
 
 
-def pairs_made(spark, df):
-    """The most rows that a node of the executed plan has put out."""
+def most_rows(df, kind=""):
+    """The most rows that a node of the executed plan (of a ``kind``) has put out."""
     df.collect()
-    plan, most = df._jdf.queryExecution().executedPlan(), 0
-    todo = [plan]
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
     while todo:
         node = todo.pop()
-        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
             todo.append(node.executedPlan())
-            continue
-        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+        elif name.endswith("QueryStageExec"):
             todo.append(node.plan())
-            continue
-        metric = node.metrics().get("numOutputRows")
-        most = max(most, metric.get().value() if metric.isDefined() else 0)
-        children = node.children()
-        todo += [children.apply(i) for i in range(children.size())]
+        else:
+            metric = node.metrics().get("numOutputRows")
+            if name.startswith(kind) and metric.isDefined():
+                most = max(most, metric.get().value())
+            children = node.children()
+            todo += [children.apply(i) for i in range(children.size())]
     return most
 
 
@@ -79,7 +79,7 @@ def test_equal_splats_are_one(spark):
     diagonal = df.select("amp", F.array("x", "y").alias("center"), F.array("sx", F.lit(0.0), "sy").alias("chol"))
     for one in (mixture.inner_product(df, df, ["x", "y"], ["sx", "sy"], "amp"), full.inner_product(diagonal, diagonal, 2)):
         assert one.first()[0] == pytest.approx(whole, rel=1e-12)
-        assert 64 <= pairs_made(spark, one) <= 8000
+        assert 64 <= most_rows(one) <= 8000
     assert mixture.similarity(df, df, ["x", "y"], ["sx", "sy"], "amp").first()[0] == pytest.approx(1.0)
 
 
@@ -89,7 +89,7 @@ def made(spark, monkeypatch):
     most, hold = [0], neighbors.held
 
     def held(df):
-        most[0] = max(most[0], pairs_made(spark, df))
+        most[0] = max(most[0], most_rows(df))
         return hold(df)
 
     monkeypatch.setattr(neighbors, "held", held)
@@ -156,7 +156,7 @@ def test_crowded_places_counts(spark):
     by_id = {r[0]: r for r in rows}
     for r in seen:
         assert found[r.id] == sum(1 for b in rows if b[0] != r.id and squared(by_id[r.id], b) < 0.09)
-    assert pairs_made(spark, out) <= len(rows)
+    assert most_rows(out) <= len(rows)
 
 
 def test_crowded_places_nearest(spark, made):
@@ -185,4 +185,46 @@ def test_crowded_places_radius(spark):
         found = neighbors.radius_join(df, queries, ["x", "y"], 0.3, "id", "id", ["g"], split, digits=3).collect()
         assert len(found) == len(expected) and {(r.query, r.id): r.d2 for r in found} == pytest.approx(expected)
     at = neighbors.places(df, ["x", "y"], ["g"])
-    assert at.count() == 26 and pairs_made(spark, neighbors.near_places(at, at, ["x", "y"], 0.3, ["g"])) <= 26 * 9
+    assert at.count() == 26 and most_rows(neighbors.near_places(at, at, ["x", "y"], 0.3, ["g"])) <= 26 * 9
+
+
+@pytest.fixture
+def sent(monkeypatch):
+    """The most rows broadcast by the tables that ``graph`` holds."""
+    most, hold = [0], graph.held
+
+    def held(df):
+        most[0] = max(most[0], most_rows(df, "BroadcastExchange"))
+        return hold(df)
+
+    monkeypatch.setattr(graph, "held", held)
+    return most
+
+
+@pytest.mark.parametrize("one_task", [1 << 20, -1])
+def test_components_broadcast_no_table(spark, sent, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
+    nodes = spark.range(6000)
+    edges = spark.range(9000).select((F.col("id") % 5000).alias("src"), (F.col("id") * 7 % 5000).alias("dst"))
+    kept = graph.present(edges, nodes)
+    found = graph.components(nodes, kept)
+    parent = list(range(6000))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for r in edges.collect():
+        a, b = sorted((root(r.src), root(r.dst)))
+        parent[b] = a
+    assert {r.id: r.root for r in found.collect()} == {i: root(i) for i in range(6000)}
+    assert max(most_rows(df, "BroadcastExchange") for df in (kept, found)) <= 100 and sent[0] <= 1000
+
+
+def test_degrees_and_communities_broadcast_no_table(spark, sent):
+    nodes = spark.range(3000)
+    edges = spark.range(3000).select(F.col("id").alias("src"), (F.col("id") - F.col("id") % 3).alias("dst"))
+    for df in (graph.degrees(nodes, edges), graph.remap(edges, nodes), graph.communities(nodes, edges, a="src", b="dst")):
+        assert df.count() == 3000 and most_rows(df, "BroadcastExchange") <= 100
+    assert sent[0] <= 1000
