@@ -97,7 +97,7 @@ def largest_component(nodes: DataFrame, edges: DataFrame, node: str = "id", src:
     """Nodes and edges of the component with the most nodes, ties by the least node."""
     found = held(components(nodes, edges, node, src, dst))
     top = found.groupBy("root").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "root").limit(1)
-    inside = found.join(F.broadcast(top), "root", "left_semi").select(node)
+    inside = unsent(found.join(F.broadcast(top), "root", "left_semi").select(node))  # top is one row
     return nodes.join(inside, node, "left_semi"), edges.join(inside, edges[src] == inside[node], "left_semi").join(inside, edges[dst] == inside[node], "left_semi")
 
 

@@ -222,6 +222,14 @@ def test_components_broadcast_no_table(spark, sent, monkeypatch, one_task):
     assert max(most_rows(df, "BroadcastExchange") for df in (kept, found)) <= 100 and sent[0] <= 1000
 
 
+def test_largest_component_broadcasts_no_table(spark, sent):
+    nodes = spark.range(6000)
+    edges = spark.range(5000).select("id", (F.col("id") + 1).alias("dst")).withColumnRenamed("id", "src")
+    inside, links = graph.largest_component(nodes, graph.present(edges, nodes))
+    assert inside.count() == 5001 and links.count() == 5000
+    assert max(most_rows(df, "BroadcastExchange") for df in (inside, links)) <= 100 and sent[0] <= 1000
+
+
 def test_degrees_and_communities_broadcast_no_table(spark, sent):
     nodes = spark.range(3000)
     edges = spark.range(3000).select(F.col("id").alias("src"), (F.col("id") - F.col("id") % 3).alias("dst"))
