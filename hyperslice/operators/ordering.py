@@ -113,9 +113,15 @@ def order_statistics(df: DataFrame, wanted: Sequence[tuple[Column, int]], bins:
 
 
 def quantiles(df: DataFrame, wanted: Sequence[tuple[Column, float]]) -> list[float | None]:
-    """The exact percentile (share 0..1, linear between rows) of each value: nulls don't count, NaN is the greatest; None without values."""
+    """The exact percentile (share 0..1, linear between rows) of each value: nulls don't count, NaN is the greatest; None without values.
+
+    The values are computed once and held, since several scans read them.
+    """
     if not wanted:
         return []
+    names = [f"__w{i}" for i in range(len(wanted))]
+    df = held(df.select(*[v.cast("double").alias(n) for n, (v, _) in zip(names, wanted, strict=True)]))
+    wanted = [(F.col(n), share) for n, (_, share) in zip(names, wanted, strict=True)]
     counts = df.agg(*[f.alias(f"{n}{i}") for i, (v, _) in enumerate(wanted) for n, f in (("n", F.count(v)), ("nan", F.count_if(F.isnan(v.cast("double")))))]).first()
     places, asked = [], []
     for i, (v, share) in enumerate(wanted):

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import quantiles
+from .ordering import held, quantiles, unsent
 
 
 def render(splats: DataFrame, axes: Sequence[str], sigmas: Sequence[str], amplitude: str, shape: Sequence[int], truncate: float = 3.0, floor: float = 1e-5) -> DataFrame:
@@ -234,9 +234,9 @@ def noise_floor(volume: DataFrame, axes: Sequence[str], value: str = "value") ->
     second difference; background: the median distance from the median, of the values up to
     it. Each is scaled to the deviation of a normal distribution.
     """
-    last = axes[-1]
+    last, volume = axes[-1], held(volume.select(*axes, value))
     up, down = (volume.select(*[(F.col(a) + s if a == last else F.col(a)).alias(a) for a in axes], F.col(value).alias(n)) for s, n in ((-1, "__up"), (1, "__down")))
-    near = volume.join(up, list(axes), "left").join(down, list(axes), "left")
+    near = volume.join(unsent(up), list(axes), "left").join(unsent(down), list(axes), "left")
     median = quantiles(volume, [(F.col(value), 0.5)])[0]
     if median is None:
         return dict.fromkeys(("difference", "laplacian", "background", "ensemble"), float("nan"))

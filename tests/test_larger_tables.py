@@ -2,13 +2,14 @@
 
 import math
 import random
+import statistics
 from collections import defaultdict
 from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
-from hyperslice.operators import full, graph, mixture, neighbors
+from hyperslice.operators import full, graph, mixture, neighbors, ordering, raster
 
 
 def exact_merge(rows, target):
@@ -236,3 +237,25 @@ def test_degrees_and_communities_broadcast_no_table(spark, sent):
     for df in (graph.degrees(nodes, edges), graph.remap(edges, nodes), graph.communities(nodes, edges, a="src", b="dst")):
         assert df.count() == 3000 and most_rows(df, "BroadcastExchange") <= 100
     assert sent[0] <= 1000
+
+
+def test_percentiles_evaluate_their_values_once(spark):
+    """Three percentiles take several scans: of the values as held, not of what they come from."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rng = random.Random(6)
+    cells = [(a, b, rng.gauss(100, 5)) for a in range(20) for b in range(30)]
+    volume = spark.createDataFrame(cells, "a int, b int, value double").mapInArrow(count, "a int, b int, value double")
+    found = raster.noise_floor(volume, ["a", "b"])
+    assert seen.value == len(cells)
+    at = {(a, b): v for a, b, v in cells}
+    gaps = [abs(at[a, b + 1] - v) for (a, b), v in at.items() if (a, b + 1) in at]
+    assert found["difference"] == pytest.approx(statistics.median(gaps) / (0.6744897501960817 * 2**0.5))
+    seen.value = 0
+    assert ordering.quantiles(volume, [(F.col("value"), 0.5), (-F.col("value"), 0.0)]) == pytest.approx([statistics.median(at.values()), -max(at.values())])
+    assert seen.value == len(cells)
